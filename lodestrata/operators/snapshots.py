@@ -144,8 +144,8 @@ class SnapshotIndex:
         done = {n.removesuffix(".current") for n in names if n.endswith(".current")}
         return sorted(int(n) for n in done)
 
-    def _read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{version}")
+    def _read(self, version: int, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(f"{self.path}/{version}")
 
     def apply(self, rows: DataFrame, record: str, values: Sequence[str]) -> DataFrame:
         """Changes (record, change, old, new) of this delivery; the delivery becomes the last snapshot."""
@@ -160,12 +160,12 @@ class SnapshotIndex:
         seen = self.versions()
         version = (seen[-1] + 1) if seen else 0
         new.repartition(self.buckets, "_bucket", "_key").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
-        now = self._read(version)
+        now = self._read(version, new)
         shape = f"`{record}` string, change string, old {new.schema['_value'].dataType.simpleString()}, new {new.schema['_value'].dataType.simpleString()}"
         if not seen:
             out = self.spark.createDataFrame([], shape)
         else:
-            last = self._read(seen[-1])
+            last = self._read(seen[-1], new)
             probe = now.select("_bucket", "_key", F.col("_hash").alias("_new")).join(
                 last.select("_bucket", "_key", F.col("_hash").alias("_old")), ["_bucket", "_key"], "full_outer"
             )
