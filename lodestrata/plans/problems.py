@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import key
 from lodestrata.operators.hierarchy import descendants, hierarchy, paths
+from lodestrata.operators.nested import artifacts_table, edges_table, latest_reports, leaves, objects, results_table
 from lodestrata.operators.snapshots import finding_changes
 from lodestrata.storage import table
 
@@ -36,7 +37,23 @@ def p2_found(spark, d):
     return finding_changes(table(spark, d, "findings"), table(spark, d, "scan_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p2_found": p2_found}
+def p4_found(spark, d):
+    return leaves(objects(latest_reports(table(spark, d, "raw_reports"))))
+
+
+def p4_artifacts(spark, d):
+    return artifacts_table(objects(latest_reports(table(spark, d, "raw_reports"))))
+
+
+def p4_results(spark, d):
+    return results_table(objects(latest_reports(table(spark, d, "raw_reports"))))
+
+
+def p4_edges(spark, d):
+    return edges_table(latest_reports(table(spark, d, "raw_reports")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p2_found": p2_found, "p4_found": p4_found, "p4_artifacts": p4_artifacts, "p4_results": p4_results, "p4_edges": p4_edges}
 ORACLES: dict[str, str] = {}
 
 #: One step at a time down from the roots; then up from what was not reached, to the smallest id of its loop.
