@@ -4,12 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import frequency, mixing, tokenizer
+from lodestrata.llm import frequency, matching, mixing, tokenizer
 from lodestrata.storage import table
 
 FIELDS = ["rule_id", "severity", "category"]
 
 
+def _typed_values(spark, d):
+    """(field, record_id, vocabulary, value) of all values that are typed freely."""
+    licences, rules = table(spark, d, "license_observations"), table(spark, d, "policy_rules")
+    row = lambda f, v, i, x: F.struct(F.lit(f).alias("field"), F.col(i).cast("long").alias("record_id"), F.lit(v).alias("vocabulary"), F.col(x).alias("value"))
+    one = licences.select(F.inline(F.array(*[row(f, "license", "observation_id", f) for f in ("raw", "expression")])))
+    return one.unionByName(rules.select(F.inline(F.array(row("category", "policy_category", "rule_no", "category")))))
+
+
+def p3_found(spark, d):
+    return matching.map_to_canonical(_typed_values(spark, d), table(spark, d, "canonical_values"))
+
+
+def p3_unmatched(spark, d):
+    """How often each value that has no entry was typed."""
+    rows = _typed_values(spark, d)
+    entries = table(spark, d, "canonical_values")
+    values = rows.where("trim(value) <> ''").groupBy("vocabulary", "value").agg(F.count("record_id").alias("n_rows"))
+    values = values.join(entries.select("vocabulary", F.col("canonical").alias("value")), ["vocabulary", "value"], "left_anti")
+    matched = matching.match_values(values.select("vocabulary", "value"), entries).where("canonical = 'unmatched'")
+    return values.join(matched.drop("canonical"), ["vocabulary", "value"])
+
+
 def p5_counts(spark, d):
     """Every term with its rows, its scans and its mark."""
     findings = table(spark, d, "findings")
@@ -40,7 +62,7 @@ def p7_shares(spark, d):
     return mixing.shares_reached(mixed, shares)
 
 
-QUERIES = {"p5_found": p5_found, "p5_counts": p5_counts, "p5_words": p5_words, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_counts": p5_counts, "p5_words": p5_words, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 _TERMS = r"""
 WITH t AS (SELECT scan_id, unnest([{'field': 'rule_id', 'v': rule_id}, {'field': 'severity', 'v': severity}, {'field': 'category', 'v': category}], recursive := true) FROM findings),
