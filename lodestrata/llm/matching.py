@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lodestrata.functions.text import trimmed
+from lodestrata.storage import Workspace
 
 # Words around a licence's name that never tell one licence from another.
 COMMON_WORDS = frozenset(
@@ -180,15 +181,17 @@ def similarity_join(left: DataFrame, right: DataFrame, groups: list[str], thresh
 def match_values(values: DataFrame, canonical_values: DataFrame) -> DataFrame:
     """(vocabulary, value, canonical) of distinct (vocabulary, value): the entry meant, or unmatched."""
     group = ["vocabulary"]
+    work = Workspace(values.sparkSession, "matching")
     parsed = values.select("vocabulary", "value", _parts("vocabulary", "value").alias("_p")).select("vocabulary", "value", "_p.*")
-    forms = reference_forms(canonical_values)
+    # written, as several branches read them and Python must see each value once
+    parsed, forms = work.cut(parsed, "parsed"), work.cut(reference_forms(canonical_values), "forms")
     named = parsed.select("vocabulary", "value", F.explode("names").alias("name"))
     names = named.select("vocabulary", "name").distinct().withColumn("tokens", _tokens("name"))
     form_sets = forms.select("vocabulary", "form").distinct().withColumn("tokens", _tokens("form"))
     least = F.lit(1.0)
     for vocabulary, t in THRESHOLD.items():
         least = F.when(F.col("vocabulary") == vocabulary, t).otherwise(least)
-    similar = similarity_join(names, form_sets, group, least)
+    similar = similarity_join(work.cut(names, "names"), work.cut(form_sets, "form_sets"), group, least)
     # an acronym is never misspelled into another word
     similar = similar.where((F.col("vocabulary") != "license") | (F.length("form") > SHORT) | (F.col("similarity") == 1))
     best = (
@@ -210,7 +213,7 @@ def match_values(values: DataFrame, canonical_values: DataFrame) -> DataFrame:
         .where("canonical = _other")
         .drop("_other")
     )
-    return values.join(chosen, ["vocabulary", "value"], "left").select("vocabulary", "value", F.coalesce("canonical", F.lit("unmatched")).alias("canonical"))
+    return parsed.select("vocabulary", "value").join(chosen, ["vocabulary", "value"], "left").select("vocabulary", "value", F.coalesce("canonical", F.lit("unmatched")).alias("canonical"))
 
 
 def map_to_canonical(rows: DataFrame, canonical_values: DataFrame) -> DataFrame:

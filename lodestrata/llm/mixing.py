@@ -38,7 +38,8 @@ def sized_documents(docs: DataFrame, folder: str = tokenizer.FOLDER, vocabulary:
     """(doc_id, source, n_tokens) of the documents that have tokens and a source."""
     text = F.col("text")
     sized = docs.select("doc_id", source_key("source").alias("source"), "text").where("source is not null and text <> ''")
-    return sized.select("doc_id", "source", tokenizer.token_counts(text, folder, vocabulary).alias("n_tokens")).where("n_tokens > 0")
+    # a text that isn't empty has a token at least, so no filter on the count, which would run the tokenizer twice
+    return sized.select("doc_id", "source", tokenizer.token_counts(text, folder, vocabulary).alias("n_tokens"))
 
 
 def running_total(rows: DataFrame, groups: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import frequency, matching, mixing, tokenizer
+from lodestrata.llm import frequency, matching, mixing, quality, tokenizer
 from lodestrata.storage import table
 
 FIELDS = ["rule_id", "severity", "category"]
@@ -62,7 +62,15 @@ def p7_shares(spark, d):
     return mixing.shares_reached(mixed, shares)
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_counts": p5_counts, "p5_words": p5_words, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_stats(spark, d):
+    return quality.text_quality(table(spark, d, "documents"))
+
+
+def p8_found(spark, d):
+    return p8_stats(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_counts": p5_counts, "p5_words": p5_words, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
 
 _TERMS = r"""
 WITH t AS (SELECT scan_id, unnest([{'field': 'rule_id', 'v': rule_id}, {'field': 'severity', 'v': severity}, {'field': 'category', 'v': category}], recursive := true) FROM findings),
