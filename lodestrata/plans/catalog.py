@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import problems
+from lodestrata.plans import findings, problems
 
-MODULES = [problems]
+MODULES = [problems, findings]
 
 
 def queries():
