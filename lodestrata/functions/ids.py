@@ -49,11 +49,16 @@ def redacted(secret: Column) -> Column:
     )
 
 
+def _base64(raw: Column) -> Column:
+    """Without the line ends that the built-in function puts in."""
+    return F.regexp_replace(F.base64(raw), "\r?\n", "")
+
+
 def module_hash(c: Column) -> Column:
     """`h1:` base64 as hex; null unless it is exactly 32 bytes in canonical base64."""
     body = F.when(c.rlike(r"^h1:[A-Za-z0-9+/]{43}=$"), F.substring(c, 4, 44))
     raw = F.try_to_binary(body, F.lit("base64"))
-    return F.when(F.base64(raw) == body, F.lower(F.hex(raw)))
+    return F.when(_base64(raw) == body, F.lower(F.hex(raw)))
 
 
 DIGEST_BYTES = {"sha1": 20, "sha256": 32, "sha384": 48, "sha512": 64}
@@ -68,7 +73,7 @@ def integrity(c: Column) -> Column:
         size = F.lit(None).cast("int")
         for name, n in DIGEST_BYTES.items():
             size = F.when(algorithm == name, n).otherwise(size)
-        fits = (F.octet_length(raw) == size) & (F.base64(raw) == body)
+        fits = (F.octet_length(raw) == size) & (_base64(raw) == body)
         return F.when(fits, F.struct(algorithm.alias("algorithm"), F.lower(F.hex(raw)).alias("digest")))
 
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(trimmed_text(c), r"\s+"), decoded))))
