@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import findings, problems
+from lodestrata.plans import findings, inventory, problems
 
-MODULES = [problems, findings]
+MODULES = [problems, findings, inventory]
 
 
 def queries():
