@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import BooleanType
 
+from lodestrata.functions.markers import disjoint
 from lodestrata.functions.text import key
 from lodestrata.operators.hierarchy import hierarchy
 from lodestrata.storage import Workspace
@@ -224,10 +227,6 @@ def bound_matches(matches: DataFrame, occurrences: DataFrame, checked: Sequence[
 
 def constraint_links(requirements: DataFrame, constraints: DataFrame) -> DataFrame:
     """(requirement, constraint): same name; same marker, or none; or not provably disjoint markers."""
-    from pyspark.sql.types import BooleanType
-    import pandas as pd
-
-    from lodestrata.functions.markers import disjoint
 
     @F.pandas_udf(BooleanType())
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:

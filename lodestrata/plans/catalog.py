@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import findings, inventory, problems
+from lodestrata.plans import findings, inventory, problems, reports
 
-MODULES = [problems, findings, inventory]
+MODULES = [problems, findings, inventory, reports]
 
 
 def queries():
