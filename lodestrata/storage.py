@@ -55,3 +55,12 @@ class Workspace:
         if path:
             jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Before work that is heavy per row: rows of a scan of fewer partitions than cores are spread by key.
+
+    A large table has partitions enough and is left as it is, so nothing is shuffled at scale.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
