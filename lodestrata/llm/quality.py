@@ -54,9 +54,11 @@ BAR = re.compile(r"([#=█▓▒░.▌▏>\-])\1{7,}")
 CELL = re.compile(r"</?t[drh]\b|</?table\b", re.I)
 LONE_SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-–—…«»“”‘’„¿¡。、「」・/@#_&%+*=<>\[\]{}|\\`~^$§°]|[\p{Co}\p{Cn}\p{Cc}&&[^\t]]", regex.V1)
 UNREADABLE = regex.compile(r"[[\p{Cc}\p{Co}\p{Cn}]--[\t\n\r\x0b\x0c\x85]]|\ufffd", regex.V1)
+ASCII_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
 CODE = re.compile(r"[(){}\[\];=|&^<>+*!?:$]")
 OTHER = regex.compile(r"[^\p{Latin}\p{Cyrillic}\p{Greek}]+")
+NO_LETTER = {i: None for i in range(128) if not chr(i).isalpha()}
 VOWELS = "aeiouyæœøаеёиоуыэюяіїєαεηιουω"
 ENDINGS = tuple(".!?…。！？:;»”\"'")
 
@@ -78,9 +80,11 @@ def _repeated(items: list[str]) -> float:
 
 def _vowelless(text: str) -> bool:
     """Letters with too few vowels for any language that writes them."""
-    plain = unicodedata.normalize("NFKD", text.casefold())
-    letters = len(OTHER.sub("", plain))
-    return letters >= 24 and sum(map(plain.count, VOWELS)) < 0.29 * letters
+    if text.isascii():
+        plain, vowels = text.lower().translate(NO_LETTER), "aeiouy"
+    else:
+        plain, vowels = OTHER.sub("", unicodedata.normalize("NFKD", text.casefold())), VOWELS
+    return len(plain) >= 24 and sum(map(plain.count, vowels)) < 0.29 * len(plain)
 
 
 def _separators(lines: list[str]) -> str | None:
@@ -99,7 +103,7 @@ def _said(line: str) -> int:
     """Characters in runs of plain words; a marked line must consist mostly of them."""
     body = MARKER.sub("", line, count=1)
     size = sum(len(m.group()) for m in RUN.finditer(body))
-    if not size and UNSPACED.search(body):
+    if not size and not body.isascii() and UNSPACED.search(body):
         size = len(body.strip())
     return size if size >= 0.6 * len(body.strip()) or not MARKER.match(line) else 0
 
@@ -114,7 +118,7 @@ def _line_kinds(lines: list[str]) -> Counter:
     said = [_said(x) for x in lines]
     for i, line in enumerate(lines):
         size = len(line.strip())
-        symbols = len(LONE_SYMBOL.findall(line))
+        symbols = 0 if line.isascii() and line.isprintable() else len(LONE_SYMBOL.findall(line))
         body = MARKER.sub("", line, count=1)
         if CELL.search(line):
             kinds["table"] += size
@@ -158,7 +162,8 @@ def kind_of(text: str) -> tuple[str | None, float]:
     lines = [x for x in LINE_END.split(shown) if x.strip()]
     if not lines:
         return None, 0.0
-    if len(UNREADABLE.findall(shown)) > 0.04 * len(shown):
+    unreadable = ASCII_CONTROL if shown.isascii() else UNREADABLE
+    if len(unreadable.findall(shown)) > 0.04 * len(shown):
         return "junk", 0.0
     tokens = shown.replace("...", " ").split()
     if len(tokens) >= 10 and len(set(tokens)) <= min(3, 0.1 * len(tokens)):
