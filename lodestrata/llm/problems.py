@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.llm import frequency, matching, mixing, quality, tokenizer
-from lodestrata.storage import table
+from lodestrata.storage import spread, table
 
 FIELDS = ["rule_id", "severity", "category"]
 
@@ -50,20 +50,25 @@ def p5_words(spark, d):
 
 
 def p6_ids(spark, d):
-    return table(spark, d, "documents").select("doc_id", tokenizer.token_ids(F.col("text")).alias("ids"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", tokenizer.token_ids(F.col("text")).alias("ids"))
+
+
+def _sources(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def p7_mix(spark, d):
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix(_sources(spark, d), table(spark, d, "mix_targets"))[0]
 
 
 def p7_shares(spark, d):
-    mixed, shares, _ = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    mixed, shares, _ = mixing.mix(_sources(spark, d), table(spark, d, "mix_targets"))
     return mixing.shares_reached(mixed, shares)
 
 
 def p8_stats(spark, d):
-    return quality.text_quality(table(spark, d, "documents"))
+    return quality.text_quality(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def p8_found(spark, d):
