@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, licenses, versions
 from lodestrata.functions.text import key
-from lodestrata.operators import inventory as op
+from lodestrata.operators import inventory as op, resolution
+from lodestrata.sources import config
 from lodestrata.storage import table
 
 POLICY = licenses.LicensePolicy(["MIT", "BSD-*", "Apache-2.0"], ["GPL-*", "AGPL-*"])
@@ -138,12 +139,29 @@ def purl_check(spark, d):
     return o.select("id", made.alias("computed"), F.col("purl").alias("recorded"))
 
 
+def projected_rows(spark, d):
+    return resolution.projected_rows(_occurrences(spark, d), _edges(spark, d), _observations(spark, d)).select("table", "key")
+
+
+def selected_versions(spark, d):
+    """What the declared ranges of every package name of an ecosystem select together, carets and tildes as they stand."""
+    o = _occurrences(spark, d).where("declared_range is not null and ecosystem = 'pypi'")
+    exact = F.when(F.col("evidence_kind") == "locked", F.concat(F.lit("=="), "selected_version")).otherwise(F.when(F.col("declared_range").startswith(">="), F.col("declared_range")))
+    return resolution.selected_versions(o.select(F.col("ecosystem").alias("project"), "name", exact.alias("range")))
+
+
+def config_problems(spark, d):
+    """What is wrong with the policy rules as they were typed."""
+    rules = table(spark, d, "policy_rules").select(F.col("rule_no").alias("ord"), "severity", "category", F.col("max_count").cast("string").alias("max_count"), "action")
+    return config.policy_problems(rules).distinct()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         occurrences_latest, relationships_latest, nuget_range, range_checks, unique_match_resolution, reachability, adjacency, name_version_rank, occurrence_facets, license_state,
         license_gaps, license_policy, license_classes, export_components, export_dependencies, export_cyclonedx, integrity_violations, inventory_summary, unique_declared_range,
-        row_digests, purl_check,
+        row_digests, purl_check, projected_rows, selected_versions, config_problems,
     )
 }
 
@@ -186,5 +204,11 @@ UNION ALL SELECT 'edge-end-missing', count(*) FROM ed WHERE parent_id IS NULL OR
 UNION ALL SELECT 'license-occurrence-unknown', count(*) FROM ob WHERE occurrence_id NOT IN (FROM i)
 UNION ALL SELECT 'installed-without-version', count(*) FROM occurrences WHERE evidence_kind = 'installed' AND selected_version IS NULL) SELECT * FROM x WHERE n > 0""",
     "inventory_summary": BASE + "SELECT (SELECT count(*) FROM o) AS package_occurrences, (SELECT count(selected_version) FROM o) AS selected_occurrences, (SELECT count(*) FROM e) AS canonical_relationships, (SELECT count(*) FROM e WHERE evidence_status = 'evidenced') AS evidenced_relationships",
+    "projected_rows": BASE + """SELECT 'occurrence' AS "table", id AS key FROM o UNION ALL SELECT 'occurrence_facet', id || '|scope|' || v FROM (SELECT DISTINCT id, unnest(scopes) AS v FROM o) WHERE v IS NOT NULL
+UNION ALL SELECT 'relationship', parent_id || '|' || child_id FROM e UNION ALL SELECT 'evidence', occurrence_id || '|' || coalesce(expression, '') FROM (SELECT DISTINCT occurrence_id, expression FROM ob)""",
+    "config_problems": f"""WITH r AS (SELECT rule_no AS ord, {_K('severity')} AS s, {_K('category')} AS c, {_K('action')} AS a, max_count AS m FROM policy_rules), x AS (
+SELECT ord, 'bad-severity' AS problem FROM r WHERE s NOT IN ('critical','high','medium','low') UNION ALL SELECT ord, 'bad-category' FROM r WHERE c NOT IN ({", ".join(map(repr, config.POLICY_CATEGORIES))})
+UNION ALL SELECT ord, 'no-action' FROM r WHERE a IS NULL UNION ALL SELECT ord, 'bad-action' FROM r WHERE a NOT IN ('fail','warn','ignore') UNION ALL SELECT ord, 'bad-limit' FROM r WHERE m < 0)
+SELECT DISTINCT 'policy' AS section, ord, problem FROM x""",
     "unique_declared_range": BASE + "SELECT concat_ws('/', ecosystem, name) AS child, min(declared_range) AS declared_range FROM o WHERE declared_range IS NOT NULL GROUP BY 1 HAVING count(DISTINCT declared_range) = 1",
 }
