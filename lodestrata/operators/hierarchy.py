@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestrata.storage import Workspace
 
@@ -258,13 +259,35 @@ def _stack_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["node_id", "path"])
 
 
+def _bounds_inside(faces: list[int], entries: list[int]):
+    """A column function: which of the partitions' first entries, sorted, lie strictly inside (entry, exit) of a tree.
+
+    Two binary searches a row, as [low, high) of the sorted bounds; a row is never met with all bounds.
+    """
+    trees, at = np.unique(np.array(faces, np.int64), return_inverse=True)
+    stride = max(entries) + 2
+    keys = at.astype(np.int64) * stride + np.array(entries, np.int64)
+
+    @F.pandas_udf(StructType([StructField("low", IntegerType()), StructField("high", IntegerType())]))
+    def inside(face: pd.Series, entry: pd.Series, exit_: pd.Series) -> pd.DataFrame:
+        f = face.to_numpy(np.int64)
+        tree = np.minimum(np.searchsorted(trees, f), len(trees) - 1)
+        base = tree.astype(np.int64) * stride
+        low = np.searchsorted(keys, base + np.minimum(entry.to_numpy(np.int64), stride - 1), "right")
+        high = np.searchsorted(keys, base + np.minimum(exit_.to_numpy(np.int64), stride - 1), "left")
+        high = np.where(trees[tree] == f, np.maximum(low, high), low)
+        return pd.DataFrame({"low": low.astype(np.int32), "high": high.astype(np.int32)})
+
+    return inside
+
+
 def paths(rows: DataFrame, nodes: DataFrame | None = None, local_limit: int = LOCAL_LIMIT) -> DataFrame:
     """(node_id, root_id, depth, path): the ids from the root down to the node; empty on or below a cycle.
 
     Nodes are range-sorted by (tree, entry). A scan of that order keeps the open intervals on a
-    stack; each partition starts with the ancestors of its first node, found by testing every
-    interval against the partitions' first entries (as many as there are partitions). The size of
-    the result is the sum of all depths; nothing is shortened.
+    stack; each partition starts with the ancestors of its first node, found by a binary search of
+    every interval among the partitions' first entries. The size of the result is the sum of all
+    depths; nothing is shortened.
     """
     spark = rows.sparkSession
     work = Workspace(spark, "paths")
@@ -275,9 +298,12 @@ def paths(rows: DataFrame, nodes: DataFrame | None = None, local_limit: int = LO
     bounds = [(r.part, r.face, r.entry) for r in firsts.collect()]
     carried = None
     if bounds:
-        at = F.broadcast(spark.createDataFrame(bounds, "to long, face long, at long"))
-        over = laid.join(at, "face").where("entry < at and at < exit")
-        carried = over.select(F.col("to").cast("int").alias("part"), "face", "entry", "exit", "node", F.lit(True).alias("given"))
+        order = sorted((face, entry, part) for part, face, entry in bounds)
+        inside = _bounds_inside([x[0] for x in order], [x[1] for x in order])
+        over = laid.withColumn("_in", inside("face", "entry", "exit")).where("_in.low < _in.high")
+        parts = F.array(*[F.lit(x[2]) for x in order])
+        to = F.explode(F.slice(parts, F.col("_in.low") + 1, F.col("_in.high") - F.col("_in.low"))).alias("part")
+        carried = over.select(to, "face", "entry", "exit", "node", F.lit(True).alias("given"))
     own = laid.select("part", "face", "entry", "exit", "node", F.lit(False).alias("given"))
     every = own if carried is None else own.unionByName(carried)
     n = max(1, len(bounds))

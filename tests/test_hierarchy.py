@@ -73,3 +73,13 @@ def test_contraction_rounds_long_chain_and_hot_parent(spark):
 def test_extra_columns_do_not_clash(spark):
     df = spark.createDataFrame([("b", "a", 1)], EDGE).withColumn("node", F.lit("q")).withColumn("face", F.lit(1)).withColumn("row", F.lit(2))
     assert {(r.node_id, r.depth) for r in hierarchy(df).collect()} == {("a", 0), ("b", 1)}
+
+
+def test_many_partitions(spark):
+    """Without coalescing, sibling runs and open intervals cross the borders of partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(f"c{i}", f"c{i - 1}", 1) for i in range(1, 60)] + [(f"h{i}", "c3", 1) for i in range(90)] + [(f"m{i}", f"k{i % 3}", 1) for i in range(30)]
+        run(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
