@@ -246,11 +246,14 @@ def hierarchy(rows: DataFrame, nodes: DataFrame | None = None, local_limit: int
 
 
 def _stack_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Nodes in order of entry: the stack of open intervals is the path."""
+    """Nodes in order of entry: the stack of open intervals is the path. Every part brings its own start of the stack."""
     open_: list[tuple[int, int, str]] = []
+    at = None
     for batch in batches:
         out = []
-        for face, exit_, node, given in zip(batch["face"].tolist(), batch["exit"].tolist(), batch["node"].tolist(), batch["given"].tolist()):
+        for part, face, exit_, node, given in zip(*[batch[c].tolist() for c in ("part", "face", "exit", "node", "given")]):
+            if part != at:
+                open_, at = [], part
             while open_ and (open_[-1][0] != face or open_[-1][1] < exit_):
                 open_.pop()
             open_.append((face, exit_, node))
@@ -308,7 +311,7 @@ def paths(rows: DataFrame, nodes: DataFrame | None = None, local_limit: int = LO
     every = own if carried is None else own.unionByName(carried)
     n = max(1, len(bounds))
     ordered = every.repartition(n, "part").sortWithinPartitions("part", "face", "entry")
-    made = ordered.select("face", "exit", "node", "given").mapInPandas(_stack_paths, "node_id string, path array<string>")
+    made = ordered.select("part", "face", "exit", "node", "given").mapInPandas(_stack_paths, "node_id string, path array<string>")
     cyclic = _with_roots(visits).where("circle").select(F.col("node").alias("node_id"), "root_id", F.lit(-1).alias("depth"), F.array().cast("array<string>").alias("path"))
     made = made.select("node_id", F.col("path")[0].alias("root_id"), (F.size("path") - 1).alias("depth"), "path")
     return made.unionByName(cyclic)
