@@ -60,16 +60,54 @@ def nearest_ancestor(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return requests.select("path", "name").distinct().join(best, ["path", "name"], "left")
 
 
+def _reached(edges: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
+    """(id): the roots and every node that a walk along the edges comes to from one of them.
+
+    `edges` is written, `roots`: (id) are the parents that nothing names. A node with one parent is
+    reached exactly if the parent is, so it first follows its parents, two hops, four, eight and so on, to
+    the next root or node of several parents; what never settles hangs on a loop that no root leads to.
+    What is left is walked level by level: one job a node of several parents on the way, not one a link.
+    All parents count. Lookups are by unique id; no group holds a list.
+    """
+    named = edges.groupBy(F.col("child_id").alias("id")).agg(F.min("parent_id").alias("_one"), F.max("parent_id").alias("_last"))
+    several = F.col("_one") != F.col("_last")
+    first = named.select("id", F.when(several, F.col("id")).otherwise(F.col("_one")).alias("at"), several.alias("settled"))
+    hops = work.cut(first.unionAll(roots.select("id", F.col("id").alias("at"), F.lit(True).alias("settled"))), "hops")
+    before, left = None, hops.where("not settled").count()
+    while left and left != before:
+        ahead = hops.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("settled").alias("_settled"))
+        moved = hops.where("not settled").join(ahead, "at").select("id", F.col("_at").alias("at"), F.col("_settled").alias("settled"))
+        done, hops = hops, work.cut(hops.where("settled").unionAll(moved), "hops")
+        work.drop(done)
+        before, left = left, hops.where("not settled").count()
+    hops = hops.where("settled")
+    meets = edges.join(named.where(several).select(F.col("id").alias("child_id")), "child_id")
+    links = meets.join(hops.select(F.col("id").alias("parent_id"), "at"), "parent_id").where("at != child_id").select("at", "child_id").distinct()
+    links = work.cut(links, "links")
+    level, seen = 0, work.cut(roots.select("id", F.lit(0).alias("level")), "seen")
+    while True:
+        front = seen.where(F.col("level") == level).select(F.col("id").alias("at"))
+        new = links.join(front, "at").select(F.col("child_id").alias("id")).distinct().join(seen, "id", "left_anti")
+        level += 1
+        done, seen = seen, work.cut(seen.unionAll(new.select("id", F.lit(level).alias("level"))), "seen")
+        work.drop(done)
+        if seen.where(F.col("level") == level).isEmpty():
+            return hops.join(seen.select(F.col("id").alias("at")), "at", "left_semi").select("id")
+
+
 def reachability(occurrences: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, directness): direct if a root names it, transitive if anything else does, unknown without an edge.
+    """(id, directness): direct if a root names it, transitive if it is reached over others, else unknown.
 
-    `edges`: (parent_id, child_id). A parent that nothing names is a root. One aggregate and one join:
-    with parents that are themselves reached, being named at all decides, so no search by levels is needed.
+    `edges`: (parent_id, child_id). A parent that nothing names is a root. What only loops lead to, loops
+    themselves and ids that nothing names are unknown.
     """
-    named = edges.select(F.col("child_id").alias("parent_id")).distinct().withColumn("_inner", F.lit(True))
-    seen = edges.join(named, "parent_id", "left").groupBy(F.col("child_id").alias("id")).agg(F.bool_or(F.col("_inner").isNull()).alias("_direct"))
-    flag = F.when(F.col("_direct").isNull(), "unknown").when(F.col("_direct"), "direct").otherwise("transitive")
-    return occurrences.select("id").join(seen, "id", "left").select("id", flag.alias("directness"))
+    work = Workspace(occurrences.sparkSession, "reachability")
+    edges = work.cut(edges.select("parent_id", "child_id"), "edges")
+    roots = work.cut(edges.select(F.col("parent_id").alias("id")).distinct().join(edges.select(F.col("child_id").alias("id")), "id", "left_anti"), "roots")
+    inner = _reached(edges, roots, work).join(roots, "id", "left_anti").select("id", F.lit("transitive").alias("_how"))
+    direct = edges.join(roots.select(F.col("id").alias("parent_id")), "parent_id").select(F.col("child_id").alias("id"), F.lit("direct").alias("_how"))
+    nearest = inner.unionAll(direct).groupBy("id").agg(F.min("_how").alias("_how"))
+    return occurrences.select("id").join(nearest, "id", "left").select("id", F.coalesce("_how", F.lit("unknown")).alias("directness"))
 
 
 def include_contexts(edges: DataFrame) -> DataFrame:

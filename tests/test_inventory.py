@@ -30,6 +30,33 @@ def test_reachability_and_contexts(spark):
     assert {r.node_id: (r.root_id, r.depth) for r in op.include_contexts(loop).collect()} == {"x": ("x", -1), "y": ("x", -1), "r": ("r", 0), "s": ("r", 1)}
 
 
+def _walked(ids, edges):
+    named = {c for _, c in edges}
+    direct = {c for p, c in edges if p not in named}
+    seen, front = set(direct), list(direct)
+    while front:
+        at = front.pop()
+        for c in {c for p, c in edges if p == at} - seen:
+            seen.add(c)
+            front.append(c)
+    return {i: "direct" if i in direct else "transitive" if i in seen else "unknown" for i in ids}
+
+
+def test_reachability_is_a_walk_from_the_roots(spark):
+    # r leads into the loop b-c, nothing into x-y, on which z and w hang; s is its own parent; d is met from a loop and from r's side
+    edges = [("r", "a"), ("a", "b"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "w"), ("s", "s"), ("s", "t"), ("w", "d"), ("c", "d"), ("d", "e"), ("r", "f"), ("w", "f")]
+    want = dict.fromkeys("af", "direct") | dict.fromkeys("bcde", "transitive") | dict.fromkeys("rxyzwstq", "unknown")
+    assert _walked(want, edges) == want
+    rng = random.Random(5)
+    for g, (n, m) in enumerate(((40, 30), (40, 45), (60, 80))):
+        edges += [(f"{g}-{rng.randrange(n)}", f"{g}-{rng.randrange(n)}") for _ in range(m)]
+    edges += [(f"k{i}", f"k{i + 1}") for i in range(69)]
+    ids = sorted({*want, *(x for e in edges for x in e)})
+    o, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, "parent_id string, child_id string")
+    assert {r.id: r.directness for r in op.reachability(o, e).collect()} == _walked(ids, edges)
+    assert [r.directness for r in op.reachability(o.limit(1), e.limit(0)).collect()] == ["unknown"]
+
+
 def test_ranks_equal_a_sort(spark):
     rng = random.Random(2)
     rows = [(f"i{i:03}", rng.choice(["hot", "hot", "a", "b", None]), rng.choice(["1", "2", None]), rng.choice(["r", "r", "q"]), 0) for i in range(400)]
