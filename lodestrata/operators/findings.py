@@ -267,7 +267,8 @@ def in_scope(findings: DataFrame, units: DataFrame) -> DataFrame:
 def budget_fold(parts: DataFrame, cap: int, by: str) -> DataFrame:
     """Parts (by, ord, size) in order: one that would exceed the cap is discarded and costs nothing.
 
-    Sequential by nature; a plan has at most some dozens of parts, so a fold over one small array.
+    Sequential by nature, so a fold over one array of each plan's parts: none is cut, and a plan's parts
+    must be few enough for a task (the rules of one scan: some hundreds).
     """
     items = F.sort_array(F.collect_list(F.struct("ord", "size")))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord:int,kept:boolean>>").alias("out"))

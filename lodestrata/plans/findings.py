@@ -225,11 +225,11 @@ def package_files(spark, d):
 
 
 def budget_fold(spark, d):
-    """Which of the first sixteen rules of each project's last scan, in order, fit a budget of 25 findings."""
+    """Which rules of each project's last scan, in order, fit a budget of 25 findings."""
     per = _current(spark, d).groupBy("project", "rule_id").agg(F.count(F.lit(1)).alias("size"))
     from pyspark.sql import Window as W
 
-    per = per.withColumn("ord", F.row_number().over(W.partitionBy("project").orderBy("rule_id"))).where("ord <= 16")
+    per = per.withColumn("ord", F.row_number().over(W.partitionBy("project").orderBy("rule_id")))
     return op.budget_fold(per.select("project", "ord", "size"), 25, "project")
 
 

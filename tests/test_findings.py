@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import vocab
 from lodestrata.operators import findings as op
+from lodestrata.plans import findings as plans
 
 RAW = "finding_id string, scan_id string, rule_id string, file string, line int, severity string, category string, trend string, scan_timestamp timestamp_ntz, payload string, ingested_at timestamp_ntz, project string, node string"
 ROW = "scan_id string, finding_id string, rule_id string, file string, line int, severity string, category string, project string"
@@ -94,6 +95,28 @@ def test_budget_fold_discards_without_cost(spark):
     assert sorted((r.g, r.ord, r.kept) for r in op.budget_fold(df, 10, "g").collect()) == [("e", 1, False), ("k", 1, True), ("k", 2, False), ("k", 3, True), ("k", 4, False)]
 
 
+def test_budget_fold_query_gives_every_rule_a_verdict(spark, tmp_path):
+    sizes = {"a": [3] * 5 + [30] + [1] * 30, "b": [26, 25, 1], "c": [1]}
+    scans, found = [], []
+    for project, each in sizes.items():
+        scans += [(f"{project}0", t(0), project), (f"{project}1", t(5), f" {project.upper()} ")]
+        found += [(f"{project}1", f"r{k:02}", i) for k, n in enumerate(each) for i in range(n)]
+        found += [(f"{project}0", "old", 1)]
+    spark.createDataFrame(scans, "scan_id string, scan_timestamp timestamp_ntz, project string").write.parquet(f"{tmp_path}/scan_records.parquet")
+    df = spark.createDataFrame([(s, r, f"{r}-{i}", i, t(9)) for s, r, i in found], "scan_id string, rule_id string, finding_id string, line int, ingested_at timestamp_ntz")
+    missing = [F.lit(None).cast("string").alias(c) for c in ("severity", "category", "trend", "payload")]
+    df.select("*", F.lit("f").alias("file"), F.col("ingested_at").alias("scan_timestamp"), *missing).write.parquet(f"{tmp_path}/findings.parquet")
+    want = set()
+    for project, each in sizes.items():
+        used = 0
+        for k, n in enumerate(each, 1):
+            kept = used + n <= 25
+            used += n * kept
+            want.add((project, k, kept))
+    got = [tuple(r) for r in plans.budget_fold(spark, str(tmp_path)).collect()]
+    assert len(got) == 40 and set(got) == want
+
+
 def test_order_and_overdue(spark):
     f = rows(spark, *[{"finding_id": str(i), "severity": s} for i, s in enumerate(["low", "weird", None, "CRITICAL", "high", "low"])])
     assert [r.finding_id for r in op.in_display_order(f, ["finding_id"]).collect()] == ["3", "4", "0", "2", "5", "1"]
