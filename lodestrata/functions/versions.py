@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -190,6 +192,79 @@ def pep440_satisfies(version: str | None, text: str | None) -> bool | None:
     return None if None in sets else any(s.contains(v, prereleases=True) for s in sets)
 
 
+def pep440_order(version: str):
+    from packaging.version import InvalidVersion, Version
+
+    try:
+        return Version(version)
+    except InvalidVersion:
+        return None
+
+
+def _pep440_exact(text: str) -> list[str]:
+    return [s.version for x in poetry_ranges(text) for s in _specifiers(x) if s.operator in ("==", "===") and "*" not in s.version and pep440_order(s.version)]
+
+
+def _npm_exact(text: str) -> list[str]:
+    return [v for v in (x.strip().lstrip("=").strip() for x in text.split("||")) if semver_key(v)]
+
+
+def cargo_as_npm(text: str) -> str:
+    """Requirements of a crate: commas mean `and`, a bare version is a caret; alternatives do not exist."""
+    pieces = [x.strip() for x in text.split(",")]
+    return "?" if "|" in text else " ".join("^" + x if re.match(r"\d+(\.\d+)*([-+].*)?$", x) else x for x in pieces)
+
+
+def _four(text: str) -> tuple | None:
+    return (*map(int, text.split(".")), 0, 0, 0)[:4] if re.fullmatch(NUMERIC[1:-1], text) else None
+
+
+def nuget_span(text: str) -> tuple | None:
+    """(low, high, low included, high included) as in nuget_satisfies; null for what is no range."""
+    text = text.strip()
+    if _four(text):
+        return _four(text), None, True, False
+    one = re.fullmatch(r"\[([^,]*)\]", text)
+    if one:
+        v = _four(one[1].strip())
+        return v and (v, v, True, True)
+    m = re.fullmatch(r"([\[(])([^,]*),([^,]*)([\])])", text)
+    if not m:
+        return None
+    left, right = m[2].strip(), m[3].strip()
+    low, high, low_in, high_in = _four(left), _four(right), m[1] == "[", m[4] == "]"
+    broken = (left and not low) or (right and not high) or not (left or right) or (not left and low_in) or (not right and high_in)
+    if broken or (low and high and (low > high or (low == high and not (low_in and high_in)))):
+        return None
+    return low, high, low_in, high_in
+
+
+def _nuget_admits(version: str, text: str) -> bool:
+    v, (low, high, low_in, high_in) = _four(version), nuget_span(text)
+    return (low is None or v > low or (low_in and v == low)) and (high is None or v < high or (high_in and v == high))
+
+
+@dataclass(frozen=True)
+class Rules:
+    """How an ecosystem reads versions (`order`: null for none) and ranges; `exact`: the versions a range names as only ones."""
+
+    order: Callable
+    readable: Callable
+    admits: Callable
+    exact: Callable
+    shown: Callable = str
+
+
+NPM = Rules(semver_key, lambda r: npm_range(r) is not None, npm_satisfies, _npm_exact)
+RULES = {
+    "pypi": Rules(pep440_order, lambda r: None not in [_specifiers(x) for x in poetry_ranges(r)], pep440_satisfies, _pep440_exact, lambda v: str(pep440_order(v))),
+    "cargo": Rules(
+        semver_key, lambda r: npm_range(cargo_as_npm(r)) is not None, lambda v, r: npm_satisfies(v, cargo_as_npm(r)), lambda r: _npm_exact(cargo_as_npm(r)) if "," not in r else []
+    ),
+    "nuget": Rules(_four, lambda r: nuget_span(r) is not None, _nuget_admits, lambda r: [r.strip()[1:-1].strip()] if "," not in r and r.strip()[:1] == "[" else []),
+}
+
+
 @F.pandas_udf(BooleanType())
 def npm_admits(version: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([npm_satisfies(*x) for x in zip(version, text)], dtype=object)

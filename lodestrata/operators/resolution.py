@@ -11,39 +11,44 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lodestrata.functions import versions
+
 SELECTED = "project string, name string, version string, reason string"
 
 
 def _select(batch: pd.DataFrame) -> pd.DataFrame:
-    from packaging.specifiers import InvalidSpecifier, SpecifierSet
-    from packaging.version import InvalidVersion, Version
-
-    project, name = batch["project"].iloc[0], batch["name"].iloc[0]
+    project, name, ecosystem = (batch[c].iloc[0] for c in ("project", "name", "ecosystem"))
 
     def result(version, reason):
         return pd.DataFrame([(project, name, version, reason)], columns=["project", "name", "version", "reason"])
 
-    try:
-        wanted = SpecifierSet(",".join(sorted({r for r in batch["range"] if r})))
-        exact = sorted({Version(s.version) for s in wanted if s.operator in ("==", "===") and "*" not in s.version})
-    except (InvalidSpecifier, InvalidVersion):
+    rules = versions.RULES.get(ecosystem, versions.NPM)
+    ranges = sorted({r for r in batch["range"] if r and r.strip()})
+    pinned = {rules.order(v): v for v in sorted({v for v in batch["pin"] if v is not None}, reverse=True)}
+    if None in pinned or not all(rules.readable(r) for r in ranges):
         return result(None, "invalid")
+    exact = pinned or {rules.order(v): v for r in reversed(ranges) for v in rules.exact(r)}
     if not exact:
         return result(None, "open")
-    fitting = [v for v in exact if wanted.contains(v, prereleases=True)]
-    if len(fitting) == 1:
-        return result(str(fitting[0]), "selected")
-    return result(None, "conflict")
+    if len(pinned) > 1:
+        return result(None, "conflict")
+    fitting = [v for v in exact.values() if all(rules.admits(v, r) for r in ranges)]
+    return result(rules.shown(fitting[0]), "selected") if len(fitting) == 1 else result(None, "conflict")
 
 
 def selected_versions(declarations: DataFrame) -> DataFrame:
     """(project, name, version, reason) of declarations (project, name, range): all ranges of a name together.
 
+    Two more columns are read if there: `pin`, a version that a lock names, and `ecosystem`, by whose rules
+    ranges are read (pypi where the column is missing); names of different ecosystems are apart.
     selected: one exact version satisfies all; conflict: exact versions that exclude each other or a
-    range; open: nothing is pinned; invalid: a range can't be read.
+    range; open: nothing is pinned; invalid: a range or a pin can't be read. Null and blank ranges ask for nothing.
     """
-    distinct = declarations.select("project", "name", "range").where("project is not null and name is not null").distinct()
-    return distinct.groupBy("project", "name").applyInPandas(_select, SELECTED)
+    given = declarations.columns
+    pin = F.col("pin") if "pin" in given else F.lit(None).cast("string").alias("pin")
+    ecosystem = F.col("ecosystem") if "ecosystem" in given else F.lit("pypi").alias("ecosystem")
+    distinct = declarations.select("project", "name", ecosystem, "range", pin).where("project is not null and name is not null").distinct()
+    return distinct.groupBy("project", "ecosystem", "name").applyInPandas(_select, SELECTED)
 
 
 def _origins(batch: pd.DataFrame) -> pd.DataFrame:

@@ -144,10 +144,10 @@ def projected_rows(spark, d):
 
 
 def selected_versions(spark, d):
-    """What the declared ranges of every package name of an ecosystem select together, carets and tildes as they stand."""
-    o = _occurrences(spark, d).where("declared_range is not null and ecosystem = 'pypi'")
-    exact = F.when(F.col("evidence_kind") == "locked", F.concat(F.lit("=="), "selected_version")).otherwise(F.when(F.col("declared_range").startswith(">="), F.col("declared_range")))
-    return resolution.selected_versions(o.select(F.col("ecosystem").alias("project"), "name", exact.alias("range")))
+    """What all declared ranges of every package name of an ecosystem select, together with the pins of its locked rows."""
+    o = _occurrences(spark, d).withColumn("pin", F.when(F.col("evidence_kind") == "locked", F.col("selected_version")))
+    asked = o.where("declared_range is not null or pin is not null")
+    return resolution.selected_versions(asked.select(F.col("ecosystem").alias("project"), "ecosystem", "name", F.col("declared_range").alias("range"), "pin"))
 
 
 def config_problems(spark, d):

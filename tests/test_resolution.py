@@ -1,4 +1,5 @@
 from lodestrata.operators import resolution as op
+from lodestrata.plans import inventory as plans
 from lodestrata.sources import config, files
 
 
@@ -9,6 +10,42 @@ def test_selection(spark):
     assert op.selected_versions(spark.createDataFrame([], "project string, name string, range string")).count() == 0
 
 
+def test_selection_query_checks_every_range(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    want = {
+        ("pypi", "in"): ([("locked", "1.4.0", "^1.2"), ("declared", "9.9", "~1.4.0")], ("1.4.0", "selected")),
+        ("pypi", "out"): ([("locked", "2.0.0", "^1.2")], (None, "conflict")),
+        ("pypi", "other"): ([("locked", "1.0", ">=1"), ("declared", None, "~1.1")], (None, "conflict")),
+        ("pypi", "bad"): ([("locked", "1.0", "?!")], (None, "invalid")),
+        ("pypi", "loose"): ([("declared", "1.0", "^1.0")], (None, "open")),
+        ("pypi", "exact"): ([("declared", "3", "==1.5"), ("declared", None, "^1.2")], ("1.5", "selected")),
+        ("pypi", "bare"): ([("locked", "1.5", None), ("declared", None, "<1.5 || >2")], (None, "conflict")),
+        ("npm", "in"): ([("locked", "0.2.9", "^0.2.3")], ("0.2.9", "selected")),
+        ("npm", "out"): ([("locked", "0.3.0", "^0.2.3")], (None, "conflict")),
+        ("npm", "exact"): ([("declared", None, "1.2.3"), ("imported", None, "~1.2.0")], ("1.2.3", "selected")),
+        ("npm", "bad"): ([("locked", "1.x", "^1.0.0")], (None, "invalid")),
+        ("cargo", "bare"): ([("locked", "1.9.0", "1.2.3"), ("declared", None, ">=1.0, <2.0")], ("1.9.0", "selected")),
+        ("cargo", "open"): ([("declared", None, "1.2.3")], (None, "open")),
+        ("nuget", "span"): ([("locked", "2.5", "[1.0, 3.0)"), ("declared", None, "2.0")], ("2.5", "selected")),
+        ("nuget", "only"): ([("declared", None, "[2.5]"), ("declared", None, "(2.5,)")], (None, "conflict")),
+        ("nuget", "caret"): ([("locked", "2.5", "^2.0")], (None, "invalid")),
+    }
+    rng = random.Random(3)
+    top = {"^": lambda v: (v[0] + 1, 0, 0) if v[0] else (0, v[1] + 1, 0) if v[1] else (0, 0, v[2] + 1), "~": lambda v: (v[0], v[1] + 1, 0), ">=": lambda v: (99, 0, 0)}
+    text = lambda v: ".".join(map(str, v))
+    for k in range(60):
+        pin, asked = tuple(rng.randrange(3) for _ in range(3)), [(rng.choice(["^", "~", ">="]), tuple(rng.randrange(3) for _ in range(3))) for _ in range(rng.choice([1, 1, 2]))]
+        fits = all(v <= pin < top[o](v) for o, v in asked)
+        want[rng.choice(["pypi", "npm", "cargo"]), f"r{k}"] = ([("locked", text(pin), o + text(v)) for o, v in asked], (text(pin), "selected") if fits else (None, "conflict"))
+    rows = [(f"{e}/{n}/{i}", e, n, *x, dt.datetime(2031, 1, 1)) for (e, n), (given, _) in want.items() for i, x in enumerate(given)]
+    schema = "id string, ecosystem string, name string, evidence_kind string, selected_version string, declared_range string, recorded_at timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/occurrences.parquet")
+    got = {(r.project, r.name): (r.version, r.reason) for r in plans.selected_versions(spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, (_, v) in want.items()}
+
+
 def test_origins(spark):
     rows = [("p", "a", "b"), ("p", "b", "a"), ("p", "b", "c"), ("p", "c", "d"), ("p", "d", "c"), ("p", "x", "c"), ("p", "x", "c"), ("p", None, "c"), ("q", "s", "s")]
     got = {(r.project, r.node): (r.component, r.is_origin) for r in op.include_origins(spark.createDataFrame(rows, "project string, parent string, child string")).collect()}
