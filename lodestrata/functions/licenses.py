@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 # The three verdicts and the limits of an expression.
 PERMITTED, DENIED, UNDETERMINED = "permitted", "denied", "undetermined"
-LONGEST, MOST_OPERATORS, DEEPEST = 4096, 256, 32
+LONGEST, MOST_OPERATORS, DEEPEST = 16_384, 128, 32
 
 
 def stated_value(value) -> str | None:
@@ -30,7 +30,7 @@ def _within_budget(text: str) -> bool:
     for c in text:
         depth += (c == "(") - (c == ")")
         deepest = max(deepest, depth)
-    return len(text) <= LONGEST and deepest <= DEEPEST and len(re.findall(r"\b(?:and|or|with)\b", text, re.I)) <= MOST_OPERATORS
+    return len(text) <= LONGEST and deepest <= DEEPEST and len(re.findall(r"\b(?:and|or|AND|OR)\b", text)) <= MOST_OPERATORS
 
 
 @functools.lru_cache(maxsize=1)

@@ -148,3 +148,13 @@ def test_markers():
 def test_composer_license(spark):
     df = spark.createDataFrame([(["MIT", "GPL-2.0-only AND X"],), (["A B"],), ([],), (None,)], "v array<string>")
     assert [r[0] for r in df.select(licenses.composer_license(F.col("v"))).collect()] == ["MIT OR (GPL-2.0-only AND X)", "A B", None, None]
+
+
+def test_license_bounds():
+    name = lambda n: "LicenseRef-" + "a" * (n - 11)
+    many = lambda n, op="OR", x="MIT": f" {op} ".join([x] * (n + 1))
+    nested = lambda n: "(" * n + "MIT" + ")" * n
+    within = [name(4097), name(16_384), many(128), many(128, "and"), many(128, x="GPL-2.0-only WITH Classpath-exception-2.0"), nested(32)]
+    assert all(licenses.parsed(x)[1] != "unparsed" for x in within)
+    assert all(licenses.parsed(x) == (None, "unparsed") for x in (name(16_385), many(129), many(129, "and"), nested(33)))
+    assert licenses.stated_value("x" * 16_384) and licenses.stated_value("x" * 16_385) is None
