@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,10 +18,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """The folder named by spark.checkpoint.dir; only on a local master one of our own where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="lodestrata-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -50,11 +53,33 @@ class Workspace:
         out.__dict__["_workspace_path"] = path
         return out
 
+    def cut_by(self, df: DataFrame, name: str, kind: str, kinds: list[str]) -> list[DataFrame]:
+        """Adds the rows to the tables of `name`, one for each value of the column `kind`; each can be dropped by itself."""
+        path = f"{self.root}/{name}"
+        df.write.mode("append").partitionBy(kind).parquet(path)
+        return [self._read(f"{path}/{kind}={k}", df.drop(kind)) for k in kinds]
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """Adds the rows to the table `name`, which the query may read; all rows so far."""
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+        return self._read(f"{self.root}/{name}", df)
+
+    def _read(self, path: str, like: DataFrame) -> DataFrame:
+        self._fs(path).mkdirs(self._path(path))  # a table without rows may have no folder
+        out = self.spark.read.schema(like.schema).parquet(path)
+        out.__dict__["_workspace_path"] = path
+        return out
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, path: str):
+        return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, df: DataFrame) -> None:
         path = df.__dict__.get("_workspace_path")
         if path:
-            jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            self._fs(path).delete(self._path(path), True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

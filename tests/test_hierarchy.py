@@ -83,3 +83,12 @@ def test_many_partitions(spark):
         run(spark, rows)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_tree_of_all_nodes_and_a_parent_of_a_third(spark):
+    """Rounds of the distributed ranking at its own limit; the tree and the parent are more than a task's share."""
+    rows = [(f"h{i}", "r", 1) for i in range(1000)] + [(f"c{i}", f"c{i - 1}" if i else "h7", 1) for i in range(900)] + [(f"l{i}", f"l{(i + 1) % 700}", 1) for i in range(700)]
+    rows += [(f"b{i}", f"l{i % 5}", 1) for i in range(600)]
+    want = {k: v[:2] for k, v in brute(rows).items()}
+    got = {r.node_id: (r.root_id, r.depth) for r in hierarchy(spark.createDataFrame(rows, EDGE)).collect()}
+    assert got == want
