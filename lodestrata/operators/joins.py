@@ -13,12 +13,13 @@ def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def counted(big: DataFrame, on: str) -> DataFrame:
+def counted(big: DataFrame, on: str | list[str]) -> DataFrame:
     """(on, size): the rows of each key, with partial sums."""
-    return big.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("size"))
+    on = [on] if isinstance(on, str) else on
+    return big.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("size"))
 
 
-def lookup_hot(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+def lookup_hot(big: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:
     """Inner join of `big` with the one row that `small` has for each key; `size` of `small` says how many rows of `big` the key has.
 
     A key is hot if it holds more rows than an even share of a partition, so there are no more hot keys than
@@ -28,11 +29,11 @@ def lookup_hot(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
     share = big.agg((F.count(F.lit(1)) / F.lit(partitions_of(big))).alias("n")).scalar()
     is_hot = F.col("size") > share
     hot = F.broadcast(small.where(is_hot).drop("size"))
-    cold = big.join(F.broadcast(small.where(is_hot).select(on)), on, "left_anti")
+    cold = big.join(F.broadcast(small.where(is_hot).select(*([on] if isinstance(on, str) else on))), on, "left_anti")
     return cold.join(small.where(~is_hot).drop("size"), on).unionByName(big.join(hot, on))
 
 
-def lookup(big: DataFrame, small: DataFrame, on: str, most: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, on: str | list[str], most: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join with the one row of each key: broadcast after a check of its rows, else `lookup_hot`."""
     if small.limit(most + 1).count() <= most:
         return big.join(F.broadcast(small), on)

@@ -59,10 +59,7 @@ def _clean(spark, d):
 
 
 def _scans(spark, d):
-    scans = table(spark, d, "scan_records")
-    order = scan_order(scans)
-    named = scans.select("scan_id", key("project").alias("project")).distinct()
-    return order.join(named, "scan_id")
+    return scan_order(table(spark, d, "scan_records"))
 
 
 def _current(spark, d):

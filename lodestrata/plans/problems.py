@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import key
 from lodestrata.operators.hierarchy import descendants, hierarchy, paths
 from lodestrata.operators.nested import artifacts_table, edges_table, latest_reports, leaves, objects, results_table
-from lodestrata.operators.snapshots import finding_changes
+from lodestrata.operators.snapshots import changed_values, finding_changes
 from lodestrata.storage import table
 
 
@@ -37,6 +37,13 @@ def p2_found(spark, d):
     return finding_changes(table(spark, d, "findings"), table(spark, d, "scan_records"))
 
 
+def p2_values(spark, d):
+    """Severity and category of every changed finding before and after."""
+    findings, scans = table(spark, d, "findings"), table(spark, d, "scan_records")
+    values = changed_values(findings, scans, finding_changes(findings, scans), ["severity", "category"])
+    return values.select("scan_id", "finding_id", "change", *[F.col(f"{w}.{c}").alias(f"{w}_{c}") for w in ("old", "new") for c in ("severity", "category")])
+
+
 def p4_found(spark, d):
     return leaves(objects(latest_reports(table(spark, d, "raw_reports"))))
 
@@ -53,7 +60,7 @@ def p4_edges(spark, d):
     return edges_table(latest_reports(table(spark, d, "raw_reports")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p2_found": p2_found, "p4_found": p4_found, "p4_artifacts": p4_artifacts, "p4_results": p4_results, "p4_edges": p4_edges}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_artifacts": p4_artifacts, "p4_results": p4_results, "p4_edges": p4_edges}
 ORACLES: dict[str, str] = {}
 
 #: One step at a time down from the roots; then up from what was not reached, to the smallest id of its loop.
@@ -86,9 +93,9 @@ FROM (SELECT node_id, path, unnest(path) AS ancestor_id, generate_subscripts(pat
 )
 
 #: The same by window functions, from the raw columns; DuckDB's regular expressions are RE2.
-ORACLES["p2_found"] = r"""
+_DIFF = r"""
 WITH raw AS (
-  SELECT scan_id, ingested_at,
+  SELECT scan_id, ingested_at, severity, category,
     coalesce(nullif(lower(trim(finding_id, E' \t\r\n\x0b\x0c')), ''),
       sha256(coalesce(rule_id,'') || ':' || regexp_replace(regexp_replace(replace(coalesce(file,''), '\', '/'), '^(\./)+', ''), '^/src/', '') || ':' || coalesce(cast(line AS VARCHAR), '0'))) AS finding_id,
     coalesce(lower(trim(trend, E' \t\r\n\x0b\x0c')), '') AS trend,
@@ -104,8 +111,10 @@ ord AS (
 n AS (SELECT live.*, prev FROM live JOIN ord USING (scan_id) WHERE prev IS NOT NULL),
 o AS (SELECT live.*, nxt FROM live JOIN ord USING (scan_id) WHERE nxt IS NOT NULL)
 SELECT coalesce(n.scan_id, o.nxt) AS scan_id, coalesce(n.finding_id, o.finding_id) AS finding_id,
-  CASE WHEN o.scan_id IS NULL THEN 'added' WHEN n.scan_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+  CASE WHEN o.scan_id IS NULL THEN 'added' WHEN n.scan_id IS NULL THEN 'removed' ELSE 'changed' END AS change{values}
 FROM n FULL OUTER JOIN o ON n.scan_id = o.nxt AND n.finding_id = o.finding_id
 WHERE o.scan_id IS NULL OR n.scan_id IS NULL OR n.sev <> o.sev OR n.cat <> o.cat
   OR n.m IS DISTINCT FROM o.m OR n.f IS DISTINCT FROM o.f OR n.e IS DISTINCT FROM o.e
 """
+ORACLES["p2_found"] = _DIFF.replace("{values}", "")
+ORACLES["p2_values"] = _DIFF.replace("{values}", ", o.severity AS old_severity, o.category AS old_category, n.severity AS new_severity, n.category AS new_category")
