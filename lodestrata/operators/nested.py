@@ -2,9 +2,10 @@
 
 Bodies are parsed once into VARIANT values inside the JVM. A tree automaton classifies
 every object bottom-up by the shape of its members: the state of a value is one of `SHAPES`, the
-state of an object is the tuple of its members' states. Each object is routed by its state to the
-typed subtype tables (a dependency of a map, of a list of objects, ...), and all share the
-supertype's columns: report_id, entity, parent_path, item.
+state of an object names the states of the members it is routed on. `TRANSITIONS` says which typed
+subtype each state leads to (a dependency of a map, of a list, a single one, ...); `routed` sends every
+member there, and the subtype alone decides how it is read. All subtypes share the supertype's columns:
+report_id, entity, parent_path, item.
 
 Defined results: of several deliveries of a report_id the latest readable one counts (ties: the
 greater body hash); a byte order mark is passed over; a report inside another object, list or JSON
@@ -23,6 +24,17 @@ from pyspark.sql.types import StringType
 
 #: States of a single value.
 SHAPES = ("absent", "null", "list", "object", "value")
+#: (kind of object, member, state of the member) -> subtype. Members in other states hold nothing.
+TRANSITIONS = {
+    ("artifact", "locations", "list"): "location_list",
+    ("artifact", "locations", "object"): "location_single",
+    ("artifact", "locations", "value"): "location_single",
+    ("artifact", "dependencies", "object"): "dependency_map",
+    ("artifact", "dependencies", "list"): "dependency_list",
+    ("artifact", "dependencies", "value"): "dependency_single",
+    ("result", "message", "object"): "message_object",
+    ("result", "message", "value"): "message_text",
+}
 
 
 def member(v: Column, name: str) -> Column:
@@ -92,6 +104,10 @@ def _opened(body: pd.Series) -> pd.Series:
     return body.map(opened, na_action="ignore").astype(object)
 
 
+# else the filter on its result is pushed below it, and every body is opened twice
+_opened = _opened.asNondeterministic()
+
+
 def latest_reports(raw: DataFrame) -> DataFrame:
     """(report_id, received_at, report) of the latest readable delivery of each report.
 
@@ -106,17 +122,23 @@ def latest_reports(raw: DataFrame) -> DataFrame:
     return df.groupBy("report_id").agg(F.max("received_at").alias("received_at"), F.max_by("report", F.struct("received_at", "_h")).alias("report"))
 
 
+def members(entity: str, node: Column) -> dict[str, Column]:
+    """The members that an object of this kind is routed on."""
+    if entity == "artifact":
+        return {"locations": member(node, "locations"), "dependencies": member(member(node, "metadata"), "dependencies")}
+    return {"message": member(node, "message")}
+
+
 def objects(reports: DataFrame) -> DataFrame:
-    """The supertype table: (report_id, entity, parent_path, node) of every artifact and result.
+    """The supertype table: (report_id, entity, parent_path, node, state) of every artifact and result.
 
-    `state` is the automaton's state of the object: the shapes of the members that are routed on.
+    `state` is the automaton's state of the object: the states of the members that it is routed on.
     """
-    v = F.col("report")
     node = lambda entity, path, x: F.struct(F.lit(entity).alias("entity"), path.alias("parent_path"), x.alias("node"))
-    artifacts = F.transform(listed(member(v, "artifacts")), lambda a, i: node("artifact", F.concat(F.lit("artifacts["), i.cast("string"), F.lit("]")), a))
+    artifacts = F.transform(listed(member(F.col("report"), "artifacts")), lambda a, i: node("artifact", F.concat(F.lit("artifacts["), i.cast("string"), F.lit("]")), a))
     results = F.flatten(
         F.transform(
-            listed(member(v, "runs")),
+            listed(member(F.col("report"), "runs")),
             lambda r, i: F.transform(
                 listed(member(r, "results")),
                 lambda x, j: node("result", F.concat(F.lit("runs["), i.cast("string"), F.lit("].results["), j.cast("string"), F.lit("]")), x),
@@ -124,50 +146,72 @@ def objects(reports: DataFrame) -> DataFrame:
         )
     )
     out = reports.select("report_id", F.inline(F.concat(artifacts, results)))
-    n = F.col("node")
-    state = F.when(
-        F.col("entity") == "artifact",
-        F.concat_ws("/", F.lit("locations"), shape(member(n, "locations")), F.lit("dependencies"), shape(member(member(n, "metadata"), "dependencies"))),
-    ).otherwise(F.concat_ws("/", F.lit("message"), shape(member(n, "message"))))
-    return out.withColumn("state", state)
+
+    def of(entity: str) -> Column:
+        return F.concat_ws("/", *[x for name, v in members(entity, F.col("node")).items() for x in (F.lit(name), shape(v))])
+
+    return out.withColumn("state", F.when(F.col("entity") == "artifact", of("artifact")).otherwise(of("result")))
+
+
+def routed(nodes: DataFrame) -> DataFrame:
+    """(report_id, parent_path, subtype, value): every member that its object's state sends to a subtype table."""
+    none = F.array().cast("array<struct<subtype:string,value:variant>>")
+
+    def routes(entity: str) -> Column:
+        out = []
+        for name, v in members(entity, F.col("node")).items():
+            subtype = F.lit(None).cast("string")
+            for (kind, of, state), to in TRANSITIONS.items():
+                if (kind, of) == (entity, name):
+                    # the state names its members, none of which is part of another's name
+                    subtype = F.when(F.col("state").contains(f"{name}/{state}"), F.lit(to)).otherwise(subtype)
+            out.append(F.struct(subtype.alias("subtype"), v.alias("value")))
+        return F.filter(F.array(*out), lambda r: r.subtype.isNotNull())
+
+    sent = F.when(F.col("entity") == "artifact", routes("artifact")).when(F.col("entity") == "result", routes("result")).otherwise(none)
+    return nodes.select("report_id", "parent_path", F.inline(sent))
 
 
 def _leaf(entity: str, item: Column, leaf: Column) -> Column:
     return F.struct(F.lit(entity).alias("entity"), item.alias("item"), leaf.alias("leaf"))
 
 
-def _locations(n: Column) -> Column:
-    """location_list and location_single: the paths that are not null, under their position."""
-    rows = F.transform(listed(member(n, "locations")), lambda x, i: _leaf("location", i.cast("string"), text(member(x, "path"))))
-    return F.filter(rows, lambda r: r.leaf.isNotNull())
+def _of_list(v: Column) -> Column:
+    return F.coalesce(as_list_of(v), F.array().cast("array<variant>"))
 
 
-def _dependencies(n: Column) -> Column:
-    """dependency_map (name: range) or dependency_list ({name, range} or a bare name)."""
-    v = member(member(n, "metadata"), "dependencies")
-    entries = F.map_entries(as_map_of(v))
-    of_map = F.transform(entries, lambda e: _leaf("dependency", e.key, F.coalesce(text(e.value), F.lit(""))))
-    of_list = F.transform(
-        listed(v), lambda x: _leaf("dependency", F.coalesce(text(member(x, "name")), F.when(as_map_of(x).isNull(), text(x))), F.coalesce(text(member(x, "range")), F.lit("")))
-    )
-    return F.array_distinct(F.filter(F.coalesce(of_map, of_list), lambda r: r.item.isNotNull()))
+def _dependency(x: Column) -> Column:
+    """An entry of a list: {name, range} or a bare name."""
+    name = F.coalesce(text(member(x, "name")), F.when(as_map_of(x).isNull(), text(x)))
+    return _leaf("dependency", name, F.coalesce(text(member(x, "range")), F.lit("")))
 
 
-def _messages(n: Column) -> Column:
-    """message_object (its text) or message_text (the message itself)."""
-    m = member(n, "message")
-    said = F.when(as_map_of(m).isNotNull(), text(member(m, "text"))).when(as_list_of(m).isNull(), text(m))
-    return F.filter(F.array(_leaf("message", F.lit(""), said)), lambda r: r.leaf.isNotNull())
+#: How a member of each subtype is read.
+SUBTYPES = {
+    "location_list": lambda v: F.transform(_of_list(v), lambda x, i: _leaf("location", i.cast("string"), text(member(x, "path")))),
+    "location_single": lambda v: F.array(_leaf("location", F.lit("0"), text(member(v, "path")))),
+    "dependency_map": lambda v: F.transform(F.map_entries(as_map_of(v)), lambda e: _leaf("dependency", e.key, F.coalesce(text(e.value), F.lit("")))),
+    "dependency_list": lambda v: F.array_distinct(F.transform(_of_list(v), _dependency)),
+    "dependency_single": lambda v: F.array(_dependency(v)),
+    "message_object": lambda v: F.array(_leaf("message", F.lit(""), text(member(v, "text")))),
+    "message_text": lambda v: F.array(_leaf("message", F.lit(""), text(v))),
+}
 
 
-def leaves(nodes: DataFrame) -> DataFrame:
-    """(report_id, entity, parent_path, item, leaf) of every location, dependency and message.
+def subtype_table(routes: DataFrame, subtype: str) -> DataFrame:
+    """(report_id, entity, parent_path, item, leaf) of one subtype: its typed table."""
+    rows = routes.where(F.col("subtype") == subtype).select("report_id", "parent_path", F.inline(SUBTYPES[subtype](F.col("value"))))
+    return rows.where("item is not null and leaf is not null").select("report_id", "entity", "parent_path", "item", "leaf")
 
-    Reads the objects once: each is routed by its entity to the extractors of its subtypes.
-    """
-    n = F.col("node")
-    rows = F.when(F.col("entity") == "artifact", F.concat(_locations(n), _dependencies(n))).otherwise(_messages(n))
-    return nodes.select("report_id", "parent_path", F.inline(rows)).select("report_id", "entity", "parent_path", "item", "leaf")
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    """(report_id, entity, parent_path, item, leaf): the subtype tables together, in one pass over the routes."""
+    v, read = F.col("value"), None
+    for subtype, extract in SUBTYPES.items():
+        is_it = F.col("subtype") == subtype
+        read = F.when(is_it, extract(v)) if read is None else read.when(is_it, extract(v))
+    rows = routed(nodes).select("report_id", "parent_path", F.inline(read)).where("item is not null and leaf is not null")
+    return rows.select("report_id", "entity", "parent_path", "item", "leaf")
 
 
 def artifacts_table(nodes: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from lodestrata.operators.nested import artifacts_table, latest_reports, leaves, objects, opened
+from lodestrata.operators.nested import SUBTYPES, artifacts_table, latest_reports, leaves, objects, opened, routed, subtype_table
 
 SCHEMA = "report_id long, received_at timestamp_ntz, body string, entity string, node string"
 
@@ -37,3 +37,12 @@ def test_latest_readable_delivery(spark):
 
 def test_empty(spark):
     assert latest_reports(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_subtypes_are_the_leaves_and_a_body_is_opened_once(spark):
+    rows = [(1, dt.datetime(2031, 1, 1), json.dumps({"wrapped": SYFT}), "e", "n"), (2, dt.datetime(2031, 1, 1), json.dumps({"runs": [{"results": [{"message": "m"}, {"message": {"text": "t"}}]}]}), "e", "n")]
+    nodes = objects(latest_reports(spark.createDataFrame(rows, SCHEMA)))
+    every = leaves(nodes)
+    assert every._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    apart = sorted(tuple(r) for s in SUBTYPES for r in subtype_table(routed(nodes), s).collect())
+    assert apart == sorted(tuple(r) for r in every.collect()) and len(apart) == len(WANT) + 2
