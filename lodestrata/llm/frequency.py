@@ -1,11 +1,15 @@
 """How often every distinct term occurs, and in how many records.
 
-Last-seen counters: the tokens of a term come ordered by record, and the term keeps only its
-occurrences, its records and the last record it was seen in; a record is counted when it differs
-from the last one, so no set of records is ever held. Tokens are first combined per (term, record)
-on the map side. Terms are hash-partitioned with a salt taken from the record: a term that holds a
-third of all tokens spreads over `SALTS` partitions, and since one record of a term falls into one
-salt, the partial counters add up exactly.
+Last-seen counters: tokens are hash-partitioned by term and come ordered by record; a term stores its
+occurrences, its records and the last record it was seen in, and a record is counted when it differs
+from the last one, so no set of records is ever held and no distinct pass goes before.
+
+Each map task first adds up the tokens of its own rows that agree in term and record (Arrow
+groups, flushed every `HELD` rows), so repeats of a hot term in a hot record don't travel; what comes from
+several tasks is told apart by the counter. Terms are partitioned with a salt taken from the record: a term
+that holds a third of all tokens spreads over as many groups as there are partitions, and since one record
+of a term falls into one salt, the partial counters add up exactly. One full exchange; the second
+carries a row per term and salt.
 
 Defined results: null and empty terms (after trimming) are no terms; tokens without a record count
 as occurrences but in no record; an empty input has no terms; a term of no record has 0 records.
@@ -13,13 +17,15 @@ as occurrences but in no record; an empty input has no terms; a term of no recor
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestrata.functions.text import key
+from lodestrata.operators.joins import partitions_of
 
-SALTS = 32
+HELD = 1 << 18  # rows that a task adds up before it passes them on
 
 
 def tokens_of_fields(rows: DataFrame, fields: Sequence[str], record: str) -> DataFrame:
@@ -34,12 +40,34 @@ def tokens_of_text(rows: DataFrame, text: str, record: str) -> DataFrame:
     return rows.select(F.lit(text).alias("field"), F.explode(words).alias("term"), F.col(record).alias("record"))
 
 
-def term_counts(tokens: DataFrame, salts: int = SALTS) -> DataFrame:
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of one task that agree in everything, with their number."""
+    held: list[pa.Table] = []
+
+    def flush(tables: list[pa.Table]) -> pa.Table:
+        names = [c for c in tables[0].column_names if c != "n"]
+        out = pa.concat_tables(tables).combine_chunks().group_by(names, use_threads=False).aggregate([("n", "sum")])
+        return out.select([*names, "n_sum"]).rename_columns([*names, "n"])
+
+    for batch in batches:
+        one = pa.Table.from_batches([batch])
+        held.append(one.append_column("n", pa.array([1] * len(batch), pa.int64())))
+        if sum(map(len, held)) >= HELD:
+            held = [flush(held)]
+            if len(held[0]) >= HELD // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from flush(held).to_batches()
+
+
+def term_counts(tokens: DataFrame, salts: int | None = None) -> DataFrame:
     """(field, term, occurrences, records) of (field, term, record) tokens, in any number and order."""
-    combined = tokens.groupBy("field", "term", "record").agg(F.count(F.lit(1)).alias("n"))
-    salted = combined.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)).cast("int"))
-    seen_before = F.lag("record").over(W.partitionBy("field", "term", "salt").orderBy("record"))
-    is_new = F.col("record").isNotNull() & ~F.col("record").eqNullSafe(seen_before)
+    salts = salts or partitions_of(tokens)
+    schema = f"field string, term string, record {tokens.schema['record'].dataType.simpleString()}, n long"
+    added = tokens.select("field", "term", "record").mapInArrow(_added_up, schema)
+    salted = added.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)).cast("int"))
+    last_seen = F.lag("record").over(W.partitionBy("field", "term", "salt").orderBy("record"))
+    is_new = F.col("record").isNotNull() & ~F.col("record").eqNullSafe(last_seen)
     counted = salted.select("field", "term", "n", is_new.alias("is_new"))
     return counted.groupBy("field", "term").agg(
         F.sum("n").alias("occurrences"), F.coalesce(F.sum(F.col("is_new").cast("long")), F.lit(0)).alias("records")

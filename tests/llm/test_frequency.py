@@ -33,3 +33,10 @@ def test_words_of_text(spark):
     df = spark.createDataFrame([(1, "A b, a"), (2, None), (3, "b"), (3, "b")], "id int, text string")
     got = {(r.term, r.occurrences, r.records) for r in frequency.term_counts(frequency.tokens_of_text(df, "text", "id")).collect()}
     assert got == {("a", 2, 1), ("b", 3, 2)}
+
+
+def test_a_record_of_several_tasks_counts_once(spark):
+    """A hot term in a hot record, spread over many tasks: every task passes on its own part of it."""
+    df = spark.createDataFrame([("s1", "hot")] * 900 + [("s2", "hot"), (None, "hot"), ("s2", "cold")], "scan string, a string").repartition(16)
+    got = {(r.term, r.occurrences, r.records) for r in frequency.term_counts(frequency.tokens_of_fields(df, ["a"], "scan"), 3).collect()}
+    assert got == {("hot", 902, 2), ("cold", 1, 1)}
