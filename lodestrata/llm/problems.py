@@ -72,7 +72,8 @@ def p8_stats(spark, d):
 
 
 def p8_found(spark, d):
-    return p8_stats(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return quality.text_kinds(docs).where("kind in ('list', 'table', 'junk')")
 
 
 QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_counts": p5_counts, "p5_words": p5_words, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}

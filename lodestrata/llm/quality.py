@@ -11,7 +11,10 @@ paragraphs that occurred before, and the share of the characters that the most f
 * entry - a marked or short line of an enumeration, or the parts of a line that enumerates inline,
 
 and the combined rules weigh these by their characters: prose that is at least half of the text
-makes the document prose; otherwise the largest of the others names the kind.
+makes the document prose; otherwise the largest of the others names the kind. Repetition enters
+them three times: a text that one 3-gram dominates is junk; where most lines were said before, a repeated
+line without a run of words is junk; where most paragraphs were, boilerplate is weighed once.
+Sentences that are said again stay sentences.
 
 Defined results: a null, empty or blank text has zero counts and no kind; a single short line that
 is none of these is prose; texts are read whole; ties go to prose, then table, list, junk.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 import regex
@@ -41,6 +45,8 @@ COMMON_WORDS = frozenset(
 MARKER = re.compile(r"^\s*(?:[-*+•‣◦▪–—·]\s+|\[[ xX✓]?\]\s+|\(?\d{1,4}[.)]\s+|#\d+\s+|\(?[A-Za-z][.)]\s+)")
 PLAIN = r"[\"'“”„«»(\[¿¡‘’*_]*[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*[\"'“”«»)\]’*_]*"
 RUN = regex.compile(rf"(?<![^\s]){PLAIN},?(?:[  ]{PLAIN},?){{2,}}[.,;:!?…»\"]*(?![^\s])")
+ASCII_PLAIN = r"[\"'(\[*_]*[A-Za-z]+(?:'[A-Za-z]+)*[\"')\]*_]*"
+ASCII_RUN = re.compile(rf"(?<![^\s]){ASCII_PLAIN},?(?: {ASCII_PLAIN},?){{2,}}[.,;:!?\"]*(?![^\s])")
 RUN_ONE = regex.compile(rf"(?<![^\s]){PLAIN}[.,;:!?…]*(?![^\s])")
 UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{4,}")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’\-_.][\p{L}\p{M}\p{N}]+)*")
@@ -62,6 +68,12 @@ NO_LETTER = {i: None for i in range(128) if not chr(i).isalpha()}
 VOWELS = "aeiouyæœøаеёиоуыэюяіїєαεηιουω"
 ENDINGS = tuple(".!?…。！？:;»”\"'")
 
+PARAGRAPH_END = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")
+#: A text of which one 3-gram covers this share of the characters says nothing.
+DOMINANT = 0.9
+#: From this share of repeated paragraphs on, a repeated line is weighed once.
+BOILERPLATE = 0.5
+
 FIELDS = [
     ("n_words", LongType()), ("n_lines", LongType()), ("n_paragraphs", LongType()), ("mean_word_length", DoubleType()), ("symbol_ratio", DoubleType()),
     ("punctuated_line_share", DoubleType()), ("common_word_share", DoubleType()), ("duplicate_line_share", DoubleType()),
@@ -102,12 +114,34 @@ def _separators(lines: list[str]) -> str | None:
 def _said(line: str) -> int:
     """Characters in runs of plain words; a marked line must consist mostly of them."""
     body = MARKER.sub("", line, count=1)
-    size = sum(len(m.group()) for m in RUN.finditer(body))
+    size = sum(len(m.group()) for m in (ASCII_RUN if body.isascii() else RUN).finditer(body))
     if not size and not body.isascii() and UNSPACED.search(body):
         size = len(body.strip())
     return size if size >= 0.6 * len(body.strip()) or not MARKER.match(line) else 0
 
 
+@dataclass(frozen=True)
+class Repetition:
+    """How much of a text was said before: shares of lines and of paragraphs, characters under the most frequent 3-gram."""
+
+    lines: float
+    paragraphs: float
+    top_ngram: float
+
+
+def repetition(text: str, lines: list[str], words: list[str]) -> Repetition:
+    paragraphs = [x.strip() for x in PARAGRAPH_END.split(text) if x.strip()]
+    return Repetition(_repeated(lines), _repeated(paragraphs), top_ngram(words))
+
+
+def top_ngram(words: list[str]) -> float:
+    """The share of the characters that the most frequent 3-gram of words covers; 0 if none comes twice."""
+    grams: Counter = Counter(zip(words, words[1:], words[2:]))
+    top, times = max(grams.items(), key=lambda kv: (kv[1], kv[0])) if grams else ((), 0)
+    letters = sum(map(len, words))
+    return _share(min(letters, times * sum(map(len, top))) if times > 1 else 0, letters)
+
+
 def _line_kinds(lines: list[str]) -> Counter:
     """Characters of the lines by what they are."""
     kinds: Counter = Counter()
@@ -115,6 +149,7 @@ def _line_kinds(lines: list[str]) -> Counter:
     mark = _separators(cells) if cells else None
     grids = sum(bool(GRID.match(x)) for x in lines)
     times = Counter(x.strip() for x in lines)
+    said_before = _share(len(lines) - len(times), len(lines))
     said = [_said(x) for x in lines]
     for i, line in enumerate(lines):
         size = len(line.strip())
@@ -130,7 +165,7 @@ def _line_kinds(lines: list[str]) -> Counter:
             kinds["junk"] += size
         elif said[i]:
             kinds["junk" if _vowelless(body) else "prose" if said[i] >= 0.2 * size or not mark else "table"] += size
-        elif times[line.strip()] >= 8 and len(times) <= 0.2 * len(lines):
+        elif said_before >= 0.8 and times[line.strip()] >= 8:
             kinds["junk"] += size
         elif mark and not MARKER.match(line) and mark in line:
             kinds["table"] += size
@@ -166,8 +201,14 @@ def kind_of(text: str) -> tuple[str | None, float]:
     if len(unreadable.findall(shown)) > 0.04 * len(shown):
         return "junk", 0.0
     tokens = shown.replace("...", " ").split()
-    if len(tokens) >= 10 and len(set(tokens)) <= min(3, 0.1 * len(tokens)):
-        return "junk", 0.0  # a word or two over and over
+    distinct = len(set(tokens))
+    if len(tokens) >= 10 and 2 * distinct <= len(tokens) and (distinct <= min(3, 0.1 * len(tokens)) or top_ngram(tokens) >= DOMINANT):
+        return "junk", 0.0  # a few words over and over
+    stripped = [x.strip() for x in lines]
+    if len(set(stripped)) < len(lines):
+        said = repetition(shown, stripped, [])
+        if said.paragraphs >= BOILERPLATE:
+            lines = list(dict.fromkeys(lines))  # boilerplate counts once
     kinds = _line_kinds(lines)
     if len(lines) > 1 and not re.search(r"[|\t;,]", lines[0]) and len(lines[0]) < 40:
         # a heading does not change the kind of what follows
@@ -192,20 +233,18 @@ def profile(text: str | None) -> tuple:
     """The statistics of one text, in the order of FIELDS."""
     text = text or ""
     lines = [x.strip() for x in LINE_END.split(text) if x.strip()]
-    paragraphs = [x.strip() for x in re.split(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*", text) if x.strip()]
+    n_paragraphs = sum(bool(x.strip()) for x in PARAGRAPH_END.split(text))
     words = WORD.findall(text)
     letters = sum(map(len, words))
     shown = sum(map(len, text.split()))
-    grams: Counter = Counter(zip(words, words[1:], words[2:]))
-    top, times = max(grams.items(), key=lambda kv: (kv[1], kv[0])) if grams else ((), 0)
+    said = repetition(text, lines, words)
     kind, prose = kind_of(text)
     return (
-        len(words), len(lines), len(paragraphs), round(letters / len(words), 6) if words else 0.0,
+        len(words), len(lines), n_paragraphs, round(letters / len(words), 6) if words else 0.0,
         _share(len(SYMBOL.findall(text)), shown),
         _share(sum(x.endswith(ENDINGS) for x in lines), len(lines)),
         _share(sum(w.casefold() in COMMON_WORDS for w in words), len(words)),
-        _repeated(lines), _repeated(paragraphs),
-        _share(min(letters, times * sum(map(len, top))) if times > 1 else 0, letters),
+        said.lines, said.paragraphs, said.top_ngram,
         round(prose, 6), kind,
     )
 
@@ -216,6 +255,16 @@ def _profiles(batches):
         yield pd.DataFrame(rows, columns=SCHEMA.names)
 
 
+def _kinds(batches):
+    for batch in batches:
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "kind": [kind_of(t or "")[0] for t in batch["text"]]})
+
+
 def text_quality(docs: DataFrame) -> DataFrame:
     """(doc_id, statistics, kind) of every document; one pass, no shuffle."""
     return docs.select("doc_id", "text").mapInPandas(_profiles, SCHEMA)
+
+
+def text_kinds(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind) of every document: of the statistics only what the rules read."""
+    return docs.select("doc_id", "text").mapInPandas(_kinds, "doc_id long, kind string")

@@ -39,3 +39,20 @@ def test_whole_table_with_nulls_and_long_texts(spark):
     got = sorted((r.doc_id, r.kind or "", r.n_words) for r in quality.text_quality(df).collect())
     assert [g[:2] for g in got] == [(1, ""), (2, ""), (3, "prose"), (3, "prose")] and got[-1][2] == 20000 * got[-2][2]
     assert quality.text_quality(df.limit(0)).count() == 0
+
+
+def test_repetition_enters_the_rules():
+    assert quality.kind_of("alpha beta gamma " * 40)[0] == "junk"
+    assert quality.kind_of("alpha-1 beta.2 gamma_3 " * 30)[0] == "junk"
+    footer = "All rights reserved by the owners of this text.\n\n"
+    entries = "\n".join(f"- a-{i}/b{i}.py" for i in range(12))
+    assert quality.kind_of(footer * 6 + entries)[0] == "list"
+    assert quality.kind_of((PROSE + "\n\n") * 50)[0] == "prose"
+    said = quality.repetition("x y z\n\nx y z", ["x y z", "x y z"], ["x", "y", "z", "x", "y", "z"])
+    assert (said.lines, said.paragraphs, said.top_ngram) == (0.5, 0.5, 1.0)
+
+
+def test_kinds_alone_are_those_of_the_statistics(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(CASES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.kind or "") for r in quality.text_kinds(df).collect()) == sorted((r.doc_id, r.kind or "") for r in quality.text_quality(df).collect())
