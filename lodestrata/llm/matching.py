@@ -7,7 +7,10 @@ similarity of the rest is verified exactly and the best form is kept. An exact c
 value says about version and terms then picks the entry among those that share the form.
 
 Everything runs on distinct values and distinct names, so a value that fills a third of all rows is
-matched once; the result goes back to the rows in one join.
+matched once; the result goes back to the rows in a join that treats such values apart.
+
+What similarity can't tell, that `static analysis` means `sast`, is an input: a table of other words
+(vocabulary, canonical, form), by default the list `CATEGORY_FORMS`.
 
 Defined results: a null or blank value, or one that is literally an entry, is no case; a value that
 resembles no form, that names a version the list lacks, or that leaves several entries open is
@@ -22,10 +25,11 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lodestrata.functions.text import trimmed
+from lodestrata.operators.joins import BROADCAST_ROWS, lookup, partitions_of
 from lodestrata.storage import Workspace
 
 # Words around a licence's name that never tell one licence from another.
@@ -126,8 +130,7 @@ def _reference_rows(vocabulary: str, canonical: str, label: str) -> list[tuple[s
     if vocabulary == "license":
         _, version, terms = license_parts(canonical)
         return [(re.split(r"[\W\d_]", folded(x))[0], version, terms) for x in (canonical, label)]
-    forms = {canonical, label, *CATEGORY_FORMS.get(canonical, "").split(", ")}
-    return [(n, "", "") for f in forms for n in category_parts(f)[0]]
+    return [(n, "", "") for f in {canonical, label} for n in category_parts(f)[0]]
 
 
 _FORMS = ArrayType(StructType([StructField(c, StringType()) for c in ("form", "version", "terms")]))
@@ -138,9 +141,20 @@ def _entry_forms(vocabulary: pd.Series, canonical: pd.Series, label: pd.Series)
     return pd.Series([sorted(set(_reference_rows(v, c, x or c))) for v, c, x in zip(vocabulary, canonical, label)])
 
 
-def reference_forms(canonical_values: DataFrame) -> DataFrame:
-    """(vocabulary, canonical, form, version, terms): every form under which an entry is known."""
-    rows = canonical_values.where(F.col("vocabulary").isin(*PARTS) & F.col("canonical").isNotNull())
+def other_words(spark: SparkSession) -> DataFrame:
+    """(vocabulary, canonical, form): the default list of other words for the entries."""
+    return spark.createDataFrame([("policy_category", c, f) for c, forms in CATEGORY_FORMS.items() for f in forms.split(", ")], "vocabulary string, canonical string, form string")
+
+
+def reference_forms(canonical_values: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(vocabulary, canonical, form, version, terms): every form under which an entry is known.
+
+    `words`: (vocabulary, canonical, form) of other words; those for entries that the list lacks are passed over.
+    """
+    rows = canonical_values.where(F.col("vocabulary").isin(*PARTS) & F.col("canonical").isNotNull()).select("vocabulary", "canonical", "label")
+    words = other_words(canonical_values.sparkSession) if words is None else words
+    more = words.select("vocabulary", "canonical", F.col("form").alias("label")).join(rows, ["vocabulary", "canonical"], "left_semi")
+    rows = rows.unionByName(more)
     rows = rows.select("vocabulary", "canonical", F.explode(_entry_forms("vocabulary", "canonical", "label")).alias("_f"))
     return rows.select("vocabulary", "canonical", "_f.*").where("form <> ''").distinct()
 
@@ -148,8 +162,10 @@ def reference_forms(canonical_values: DataFrame) -> DataFrame:
 def similarity_join(left: DataFrame, right: DataFrame, groups: list[str], threshold: Column) -> DataFrame:
     """(groups, name, form, similarity) of all pairs of token sets that reach the threshold.
 
-    `left`: (groups, name, tokens), `right`: (groups, form, tokens), both distinct; `threshold` may
+    `left`: (groups, name, tokens), `right`: (groups, form, tokens), both distinct and written; `threshold` may
     read the groups. No cap on candidates: a pair is dropped only where the filters prove it too far.
+    Candidates are pairs of ids; the token sets are fetched for verification once a pair. Names are
+    spread by name over all partitions before they meet the forms, which are broadcast after a check of their rows.
     """
     both = left.select(*groups, F.lit(0).alias("side"), F.col("name").alias("id"), "tokens").unionByName(
         right.select(*groups, F.lit(1).alias("side"), F.col("form").alias("id"), "tokens")
@@ -163,28 +179,33 @@ def similarity_join(left: DataFrame, right: DataFrame, groups: list[str], thresh
         .select(*groups, "side", "id", F.col("t.token").alias("tokens"), F.size("t").alias("size"), threshold.alias("least"))
     )
     prefix = F.slice("tokens", F.lit(1), (F.col("size") - F.ceil(F.col("least") * F.col("size")) + 1).cast("int"))
-    rare = ordered.select("*", F.posexplode(prefix).alias("at", "token"))
-    columns = lambda side, p: rare.where(F.col("side") == side).select(
-        *groups, "token", "least", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "tokens", "size", "at")]
-    )
-    a, b = columns(0, "a"), columns(1, "b").drop("least")
+    work = Workspace(left.sparkSession, "similar")
+    rare = work.cut(ordered.select(*groups, "side", "id", "size", "least", prefix.alias("prefix")), "prefixes")
+    side = lambda n, p: rare.where(F.col("side") == n).select(*groups, "least", F.col("id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), "prefix")
+    names = side(0, "a").repartition(partitions_of(left), *groups, "a_id").select("*", F.posexplode("prefix").alias("a_at", "token")).drop("prefix")
+    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sized = lambda df: F.broadcast(df) if few else df
+    forms = sized(side(1, "b").select(*groups, "b_id", "b_size", F.posexplode("prefix").alias("b_at", "token")))
     t, x, y = F.col("least"), F.col("a_size"), F.col("b_size")
     needed = F.ceil(t / (t + 1) * (x + y) - F.lit(1e-9))
-    near = a.join(b, [*groups, "token"]).where((y >= t * x) & (x >= t * y) & (1 + F.least(x - F.col("a_at") - 1, y - F.col("b_at") - 1) >= needed - F.least("a_at", "b_at")))
-    pairs = near.dropDuplicates([*groups, "a_id", "b_id"])
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return pairs.select(
-        *groups, F.col("a_id").alias("name"), F.col("b_id").alias("form"), (shared / (x + y - shared)).alias("similarity"), "least"
-    ).where(F.col("similarity") >= F.col("least")).drop("least")
+    near = names.join(forms, [*groups, "token"]).where(
+        (y >= t * x) & (x >= t * y) & (1 + F.least(x - F.col("a_at") - 1, y - F.col("b_at") - 1) >= needed - F.least("a_at", "b_at"))
+    )
+    pairs = near.select(*groups, "a_id", "b_id", "least").dropDuplicates([*groups, "a_id", "b_id"])
+    met = pairs.join(left.select(*groups, F.col("name").alias("a_id"), F.col("tokens").alias("a")), [*groups, "a_id"])
+    met = met.join(sized(right.select(*groups, F.col("form").alias("b_id"), F.col("tokens").alias("b"))), [*groups, "b_id"])
+    shared = F.size(F.array_intersect("a", "b"))
+    similarity = shared / (F.size("a") + F.size("b") - shared)
+    return met.select(*groups, F.col("a_id").alias("name"), F.col("b_id").alias("form"), similarity.alias("similarity"), "least").where("similarity >= least").drop("least")
 
 
-def match_values(values: DataFrame, canonical_values: DataFrame) -> DataFrame:
+def match_values(values: DataFrame, canonical_values: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(vocabulary, value, canonical) of distinct (vocabulary, value): the entry meant, or unmatched."""
     group = ["vocabulary"]
     work = Workspace(values.sparkSession, "matching")
     parsed = values.select("vocabulary", "value", _parts("vocabulary", "value").alias("_p")).select("vocabulary", "value", "_p.*")
     # written, as several branches read them and Python must see each value once
-    parsed, forms = work.cut(parsed, "parsed"), work.cut(reference_forms(canonical_values), "forms")
+    parsed, forms = work.cut(parsed, "parsed"), work.cut(reference_forms(canonical_values, words), "forms")
     named = parsed.select("vocabulary", "value", F.explode("names").alias("name"))
     names = named.select("vocabulary", "name").distinct().withColumn("tokens", _tokens("name"))
     form_sets = forms.select("vocabulary", "form").distinct().withColumn("tokens", _tokens("form"))
@@ -216,9 +237,10 @@ def match_values(values: DataFrame, canonical_values: DataFrame) -> DataFrame:
     return parsed.select("vocabulary", "value").join(chosen, ["vocabulary", "value"], "left").select("vocabulary", "value", F.coalesce("canonical", F.lit("unmatched")).alias("canonical"))
 
 
-def map_to_canonical(rows: DataFrame, canonical_values: DataFrame) -> DataFrame:
+def map_to_canonical(rows: DataFrame, canonical_values: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(field, record_id, canonical) of every case among (field, record_id, vocabulary, value) rows."""
+    work = Workspace(rows.sparkSession, "canonical")
     literal = canonical_values.select("vocabulary", F.col("canonical").alias("value"))
-    cases = rows.where(trimmed("value") != "").join(literal, ["vocabulary", "value"], "left_anti")
-    distinct = cases.select("vocabulary", "value").distinct()
-    return cases.join(match_values(distinct, canonical_values), ["vocabulary", "value"]).select("field", "record_id", "canonical").distinct()
+    cases = work.cut(rows.select("field", "record_id", "vocabulary", "value").where(trimmed("value") != "").join(literal, ["vocabulary", "value"], "left_anti"), "cases")
+    matched = work.cut(match_values(cases.select("vocabulary", "value").distinct(), canonical_values, words), "matched")
+    return lookup(cases, matched, ["vocabulary", "value"]).select("field", "record_id", "canonical").distinct()
