@@ -10,6 +10,8 @@ description, file, line, severity, category.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.functions import vocab
@@ -24,12 +26,22 @@ python.useless-else python.redundant-unless python.unreachable-code python.use-s
 javascript.useless-assignment javascript.no-delete-var javascript.no-empty-block javascript.no-template-curly-in-string javascript.no-const-assign javascript.no-throw-literal
 javascript.catch-error-name javascript.no-console-spam javascript.performance javascript.performance.* python.performance.* pytest.* unittest.* mocha.* jest.* complexity
 cyclomatic-complexity cognitive-complexity max-params max-lines max-len""".split()
-QUALITY_QUERIES = [
-    "unused container instruction", "container image tag", "container image digest is missing", "container image uses latest tag", "file permissions", "root user in container",
-    "user in dockerfile", "missing health check", "health check not enabled", "labels not present", "annotations not present", "labels not set", "missing tags", "resource tagging",
-    "description missing", "description is missing", "comment missing", "best practice", "optimization", "performance", "cost", "naming", "consistency", "maintainability",
-    "readability", "style", "format", "lint", "code organization", "code structure", "code layout", "pattern", "terraform output not defined", "terraform module has no source",
-]
+# Names of queries that are about code quality.
+QUALITY_QUERIES = """Unused container instruction; Container image tag; Container image digest is missing; Container image uses latest tag; Dockerfile command not latest;
+Dockerfile instruction should not be used multiple times; Dockerfile line length should be less than 200 characters; Dockerfile use JSON array for RUN instructions;
+File permissions; Inappropriate file permissions; Root user in container; User in Dockerfile; Missing health check; Health check not enabled;
+Kubernetes labels not present; Kubernetes annotations not present; Metadata labels not set; Missing Kubernetes labels; Missing Kubernetes annotations;
+Terraform output not defined; Terraform module has no source; Terraform module source is missing; Terraform variable not defined; Terraform variable is not used;
+Terraform output description; Terraform variable description; Terraform resource description; Terraform module description; Terraform provider description;
+Terraform resource tag; Terraform module tag; Terraform provider tag; Terraform variable tag; Terraform output tag; AWS resource missing tags; Missing tags;
+Resource tagging; Description missing; Description is missing; Comment missing; Best practices; Optimization; Performance; Cost optimization; Cost; Resource naming;
+Naming convention; Naming; Consistency; Maintainability; Readability; Code style; Style; Format; Formatting; Lint; Linter; Best Practice; Code organization;
+Code structure; Code layout; Code pattern; Pattern"""
+# Further texts that mark a query's name or description as code quality.
+QUALITY_TEXTS = """best practice; optimization; performance; cost optimization; resource naming; naming convention; maintainability; readability; code style;
+code organization; code structure; code layout; code pattern; line length; formatting; format; indentation; description missing; comment missing; documentation;
+missing tags; resource tagging; metadata labels; metadata annotations; health check; liveness probe; readiness probe; root user; runs as root; user in dockerfile"""
+QUALITY_MARKS = sorted({re.sub(r"\s+", " ", x).strip().lower() for x in f"{QUALITY_QUERIES}; {QUALITY_TEXTS}".split(";")})
 COLUMNS = ["path", "ord", "scanner", "type", "rule_id", "cve_id", "title", "description", "file", "line", "severity", "category"]
 
 
@@ -102,7 +114,7 @@ def kics(reports: DataFrame) -> DataFrame:
     files, results = as_list_of(member(q, "files")), as_list_of(member(q, "results"))
     name, description = F.coalesce(text(member(q, "query_name")), F.lit("")), F.coalesce(text(member(q, "description")), F.lit(""))
     level = F.coalesce(text(member(q, "severity")), F.lit("MEDIUM"))
-    quality = F.exists(F.array(*map(F.lit, QUALITY_QUERIES)), lambda w: F.lower(name).contains(w) | F.lower(description).contains(w))
+    quality = F.exists(F.array(*map(F.lit, QUALITY_MARKS)), lambda w: F.lower(name).contains(w) | F.lower(description).contains(w))
     entries = F.when(F.size(files) > 0, files).otherwise(F.coalesce(results, F.array().cast("array<variant>")))
     df = df.where(~quality & (level != "INFO")).select("path", (F.col("ord") * F.lit(1_000_000)).alias("_q"), "e", F.posexplode(entries).alias("_i", "r"))
     df, r = df.withColumn("ord", F.col("_q") + F.col("_i")), F.col("r")

@@ -107,3 +107,15 @@ def test_version_bumps(spark):
     for e in {r[0] for r in rows}:
         out |= {r.i: r.o for r in df.where(F.col("e") == e).select("i", R.bumped(F.col("l"), e, F.col("p"), F.lit("2.0")).alias("o")).collect()}
     assert [out[i] for i in range(6)] == ["a>=2.0  # c", "ab==1.0", '  "a": "^2.0",', '  "@s/a": "2.0"', "\tx.y/a v2.0 // indirect", "gem 'a', '~> 2.0'"]
+
+
+def test_quality_marks_are_both_lists_whole(spark):
+    from lodestrata.sources import scanners as sc
+
+    for mark in ("unused container instruction", "dockerfile use json array for run instructions", "terraform output tag", "code pattern", "pattern", "best practice", "liveness probe", "runs as root", "user in dockerfile", "indentation"):
+        assert mark in sc.QUALITY_MARKS
+    assert len([x for x in sc.QUALITY_QUERIES.split(";") if x.strip()]) == 63 and len(sc.QUALITY_TEXTS.split(";")) == 30
+    named = lambda n: {"query_name": n, "severity": "HIGH", "description": "d", "files": [{"file_name": "a", "line": 1}]}
+    body = json.dumps({"queries": [named("Liveness Probe Is Not Defined"), named("Service Runs As Root"), named("Terraform  Output Tag"), named("Open Port")]})
+    got = sc.kics(spark.createDataFrame([("r", body)], "path string, body string")).collect()
+    assert [r.rule_id for r in got] == ["Terraform  Output Tag", "Open Port"]
