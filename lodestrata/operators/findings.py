@@ -108,8 +108,8 @@ def resolved(current: DataFrame, previous: DataFrame, by: Sequence[str] = ()) ->
     return previous.select(*keys).distinct().join(current.select(*keys), keys, "left_anti")
 
 
-def not_in_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Findings that the baseline knows neither by exact nor by line-free fingerprint.
+def not_in_baseline(findings: DataFrame, baseline: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Findings that the baseline of the same `by` knows neither by exact nor by line-free fingerprint.
 
     The disjunction is two hash joins whose flags are combined; written as one OR condition it
     would be a nested loop.
@@ -117,9 +117,9 @@ def not_in_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     exact = compute_finding_id(F.col("rule_id"), F.col("file"), F.coalesce("line", F.lit(1)))
     loose = linefree_fingerprint(F.col("rule_id"), F.col("file"))
     marked = findings.withColumns({"_exact": exact, "_loose": loose})
-    a = baseline.select(exact.alias("_exact")).distinct().withColumn("_in_exact", F.lit(True))
-    b = baseline.select(loose.alias("_loose")).distinct().withColumn("_in_loose", F.lit(True))
-    out = marked.join(a, "_exact", "left").join(b, "_loose", "left")
+    a = baseline.select(*by, exact.alias("_exact")).distinct().withColumn("_in_exact", F.lit(True))
+    b = baseline.select(*by, loose.alias("_loose")).distinct().withColumn("_in_loose", F.lit(True))
+    out = marked.join(a, [*by, "_exact"], "left").join(b, [*by, "_loose"], "left")
     return out.where("_in_exact is null and _in_loose is null").drop("_exact", "_loose", "_in_exact", "_in_loose")
 
 
@@ -175,11 +175,11 @@ def _dense(frame: DataFrame, counted: DataFrame, keys: Sequence[str]) -> DataFra
     return a.join(b, on, "left").select(*[f"a.{k}" for k in keys], F.coalesce("b.n", F.lit(0)).alias("n"))
 
 
-def cohorts(findings: DataFrame, baseline_ids: DataFrame) -> DataFrame:
-    """(category, cohort, severity, n), dense: what is new against a baseline of finding ids."""
+def cohorts(findings: DataFrame, baseline_ids: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(category, cohort, severity, n), dense: what is new against a baseline of finding ids of the same `by`."""
     spark = findings.sparkSession
-    known = baseline_ids.select("finding_id").distinct().withColumn("_old", F.lit(True))
-    counted = findings.join(known, "finding_id", "left").select(
+    known = baseline_ids.select(*by, "finding_id").distinct().withColumn("_old", F.lit(True))
+    counted = findings.join(known, [*by, "finding_id"], "left").select(
         vocab.gate_category("category").alias("category"),
         F.when(F.col("_old"), "existing").otherwise("new").alias("cohort"),
         vocab.gate_severity("severity").alias("severity"),
@@ -220,9 +220,10 @@ def unmapped(findings: DataFrame, controls: DataFrame) -> DataFrame:
     return counts.join(controls.select(F.explode("categories").alias("category")), "category", "left_anti")
 
 
-def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
-    """Findings whose (file, line) is in a diff; both sides are keyed on file and line, so no file is hot."""
-    return findings.where("file <> ''").join(changed.select("file", "line").distinct(), ["file", "line"], "left_semi")
+def on_changed_lines(findings: DataFrame, changed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Findings whose (file, line) is in the diff of the same `by`; both sides are keyed on file and line, so no file is hot."""
+    on = [*by, "file", "line"]
+    return findings.where("file <> ''").join(changed.select(*on).distinct(), on, "left_semi")
 
 
 def comments(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -233,17 +234,18 @@ def comments(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return findings.groupBy(*by, "file").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n"), body.alias("body"))
 
 
-def issue_plan(findings: DataFrame, known: DataFrame) -> DataFrame:
-    """(fingerprint, action, priority): create or skip for critical and high findings, close what is gone.
+def issue_plan(findings: DataFrame, known: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, fingerprint, action, priority): create or skip for critical and high findings, close what is gone.
 
-    `known` has (fingerprint) of the issues that exist.
+    `known` has (by, fingerprint) of the issues that exist.
     """
-    now = findings.where(F.col("severity").isin("critical", "high")).select(issue_fingerprint(F.col("rule_id"), F.col("file")).alias("fingerprint"), "severity")
-    now = now.groupBy("fingerprint").agg(F.min(vocab.display_order("severity")).alias("_rank"))
-    have = known.select("fingerprint").distinct().withColumn("_have", F.lit(True))
+    on = [*by, "fingerprint"]
+    now = findings.where(F.col("severity").isin("critical", "high")).withColumn("fingerprint", issue_fingerprint(F.col("rule_id"), F.col("file")))
+    now = now.groupBy(*on).agg(F.min(vocab.display_order("severity")).alias("_rank"))
+    have = known.select(*on).distinct().withColumn("_have", F.lit(True))
     action = F.when(F.col("_rank").isNull(), "close").when(F.col("_have"), "skip").otherwise("create")
     priority = F.when(F.col("_rank") == 0, "Highest").when(F.col("_rank") == 1, "High")
-    return now.join(have, "fingerprint", "full_outer").select("fingerprint", action.alias("action"), priority.alias("priority"))
+    return now.join(have, on, "full_outer").select(*on, action.alias("action"), priority.alias("priority"))
 
 
 def overdue(assigned: DataFrame, now: Column) -> DataFrame:

@@ -131,3 +131,14 @@ def test_vocabularies_stay_apart(spark, value, want):
     c = F.col("c")
     row = df.select(vocab.stored_category(F.coalesce(c, F.lit(""))), vocab.compliance_category(c), vocab.policy_category(c), vocab.gate_category(c)).first()
     assert tuple(row) == want
+
+
+def test_what_one_project_knows_is_new_to_another(spark):
+    cols = "project string, finding_id string, rule_id string, file string, line int, severity string, category string"
+    now = spark.createDataFrame([("p", "f", "r", "a.py", 3, "high", "sast"), ("q", "f", "r", "a.py", 3, "high", "sast")], cols)
+    before = now.where("project = 'p'")
+    assert [r.project for r in op.not_in_baseline(now, before, ["project"]).collect()] == ["q"]
+    assert {(r.cohort, r.n) for r in op.cohorts(now, before, ["project"]).where("n > 0").collect()} == {("new", 1), ("existing", 1)}
+    assert [r.project for r in op.on_changed_lines(now, before, ["project"]).collect()] == ["p"]
+    known = before.select("project", op.issue_fingerprint(F.col("rule_id"), F.col("file")).alias("fingerprint"))
+    assert {(r.project, r.action) for r in op.issue_plan(now, known, ["project"]).collect()} == {("p", "skip"), ("q", "create")}
