@@ -15,7 +15,7 @@ from pyspark.sql.types import BooleanType
 
 from lodestrata.functions.markers import disjoint
 from lodestrata.functions.text import key
-from lodestrata.operators.hierarchy import hierarchy
+from lodestrata.operators.joins import lookup
 from lodestrata.storage import Workspace
 
 
@@ -44,6 +44,19 @@ def unique_match(selectors: DataFrame, candidates: DataFrame, keys: Sequence[str
     return out.select(selector, F.when(F.col("matches") == 1, F.col("_one")).alias(candidate), "matches")
 
 
+def unique_by_key(selectors: DataFrame, candidates: DataFrame, keys: Sequence[str], selector: str, candidate: str) -> DataFrame:
+    """As `unique_match` where the keys alone decide: candidates are counted per key before one join, so no key makes pairs.
+
+    A key that most selectors share is treated apart; null keys match nothing.
+    """
+    work = Workspace(selectors.sparkSession, "unique")
+    counts = candidates.groupBy(*keys).agg(F.count(candidate).alias("matches"), F.min(candidate).alias("_one"))
+    asked = work.cut(selectors.select(selector, *keys), "asked")
+    met = lookup(asked, work.cut(counts, "counts"), list(keys)).select(selector, "matches", "_one")
+    out = asked.select(selector).join(met, selector, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    return out.select(selector, F.when(F.col("matches") == 1, F.col("_one")).alias(candidate), "matches")
+
+
 def nearest_ancestor(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """(path, name, entry): the lock entry that a package directory search finds, from the nearest directory up.
 
@@ -110,10 +123,30 @@ def reachability(occurrences: DataFrame, edges: DataFrame) -> DataFrame:
     return occurrences.select("id").join(nearest, "id", "left").select("id", F.coalesce("_how", F.lit("unknown")).alias("directness"))
 
 
-def include_contexts(edges: DataFrame) -> DataFrame:
-    """Origin and number of hops of every included file; includes that run in a circle are -1."""
-    rows = edges.select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent"), F.lit(0).alias("version"))
-    return hierarchy(rows).select("node_id", "root_id", "depth")
+def include_contexts(files: DataFrame, edges: DataFrame, most_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+    """((origin, path, role, hops), cut) of every file that each file of `files` (path) includes over any way.
+
+    `edges`: (path, target, kind). All parents count: a file that several include has a row for each origin and
+    role. A role is constraint once any include on the way is one. Ways don't turn back: a target that is on its own
+    way is a circle and left out. Walked level by level, a job each; ways longer than `most_depth` includes are not
+    followed, and the second result has the (origin, path, target) where that happened, so nothing ends unseen.
+    """
+    work = Workspace(files.sparkSession, "includes")
+    links = work.cut(edges.select("path", "target", "kind").dropna(subset=["path", "target"]).distinct(), "links")
+    role = F.when(F.col("path").rlike(r"(^|/)constraints([-_.][^/]*)?\.(txt|in|pip)$"), "constraint").otherwise("requirement")
+    start = files.select(F.col("path").alias("origin"), "path", role.alias("role"), F.lit(0).alias("hops"), F.array("path").alias("way")).dropDuplicates(["path"])
+    level, front = 0, work.cut(start, "level")
+    seen = front
+    while True:
+        turned = F.when((F.col("role") == "constraint") | (F.col("kind") == "constraint"), "constraint").otherwise("requirement")
+        steps = front.join(links, "path").where(~F.array_contains("way", F.col("target")))
+        if level == most_depth or front.isEmpty():
+            return seen.select("origin", "path", "role", "hops"), steps.select("origin", "path", "target").distinct()
+        level += 1
+        steps = steps.select("origin", F.col("target").alias("path"), turned.alias("role"), F.lit(level).alias("hops"), F.concat("way", F.array("target")).alias("way"))
+        least = steps.groupBy("origin", "path", "role", "hops").agg(F.min("way").alias("way"))
+        front = work.cut(least.join(seen.select("origin", "path", "role"), ["origin", "path", "role"], "left_anti"), "level")
+        seen = seen.unionByName(front)
 
 
 def ranked(occurrences: DataFrame, by: str) -> DataFrame:
@@ -239,7 +272,7 @@ def overlaps(rows: DataFrame, name: str, variant: str, low: str, high: str) -> D
 def row_digest(rows: DataFrame, keys: Sequence[str], values: Sequence[str], by: str) -> DataFrame:
     """(by, n, digest) of keyed rows: independent of their order and of how they are spread.
 
-    Rows hash to SHA-256; sixteen hexadecimal slices are summed per group as exact decimals, so
+    Rows hash to SHA-256; eight slices of eight hexadecimal digits are summed per group as exact decimals, so
     partial sums combine on the map side, and the sums are hashed. Two-phase and without a sort.
     """
     text = F.concat_ws("\x1f", *[x for c in (*keys, *values) for x in (F.col(c).isNull().cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))])

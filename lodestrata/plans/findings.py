@@ -140,7 +140,7 @@ def scan_record_counts(spark, d):
 
 
 def baseline_new(spark, d):
-    return op.not_in_baseline(_current(spark, d), _previous(spark, d)).select("project", "finding_id", "rule_id", "file", "line")
+    return op.not_in_baseline(_current(spark, d), _previous(spark, d), ["project"]).select("project", "finding_id", "rule_id", "file", "line")
 
 
 def policy_violations(spark, d):
@@ -154,7 +154,7 @@ def gate_snapshot_dense(spark, d):
 
 
 def gate_cohort_dense(spark, d):
-    return op.cohorts(_current(spark, d), _previous(spark, d))
+    return op.cohorts(_current(spark, d), _previous(spark, d), ["project"])
 
 
 def _coverage(name):
@@ -180,14 +180,14 @@ def notify_payload(spark, d):
 
 
 def issue_sync_plan(spark, d):
-    known = _previous(spark, d).where("severity in ('critical', 'high')").select(ids.issue_fingerprint(F.col("rule_id"), F.col("file")).alias("fingerprint"))
-    return op.issue_plan(_current(spark, d), known)
+    known = _previous(spark, d).where("severity in ('critical', 'high')").select("project", ids.issue_fingerprint(F.col("rule_id"), F.col("file")).alias("fingerprint"))
+    return op.issue_plan(_current(spark, d), known, ["project"])
 
 
 def pr_comments(spark, d):
     """Comments on findings of the last scans whose lines the scans before also touched."""
-    changed = _previous(spark, d).select("file", "line")
-    return op.comments(op.on_changed_lines(_current(spark, d), changed), ["project"]).select("project", "file", "first_line", "n", "body")
+    changed = _previous(spark, d).select("project", "file", "line")
+    return op.comments(op.on_changed_lines(_current(spark, d), changed, ["project"]), ["project"]).select("project", "file", "first_line", "n", "body")
 
 
 def duplicate_findings(spark, d):
@@ -318,15 +318,15 @@ SELECT project, finding_id, CASE WHEN known THEN 'unchanged' ELSE 'new' END AS t
 n AS (SELECT project, count(*) AS finding_count, count(*) FILTER ((project, finding_id) NOT IN (SELECT (project, finding_id) FROM prev)) AS new_count FROM cur GROUP BY 1),
 r AS (SELECT project, count(*) AS resolved_count FROM g GROUP BY 1)
 SELECT coalesce(n.project, r.project) AS project, coalesce(finding_count, 0) AS finding_count, coalesce(new_count, 0) AS new_count, coalesce(resolved_count, 0) AS resolved_count FROM n FULL JOIN r ON n.project = r.project""",
-    "baseline_new": BASE + f""", pe AS (SELECT DISTINCT rule_id || ':' || {_PATH} || ':' || line AS k FROM prev), pl AS (SELECT DISTINCT {_LOOSE} AS k FROM prev)
-SELECT project, finding_id, rule_id, file, line FROM cur WHERE (rule_id || ':' || {_PATH} || ':' || line) NOT IN (SELECT k FROM pe) AND ({_LOOSE}) NOT IN (SELECT k FROM pl)""",
+    "baseline_new": BASE + f""", pe AS (SELECT DISTINCT project AS pr, rule_id || ':' || {_PATH} || ':' || line AS k FROM prev), pl AS (SELECT DISTINCT project AS pr, {_LOOSE} AS k FROM prev)
+SELECT project, finding_id, rule_id, file, line FROM cur WHERE NOT EXISTS (FROM pe WHERE pr = project AND k = rule_id || ':' || {_PATH} || ':' || line) AND NOT EXISTS (FROM pl WHERE pr = project AND k = {_LOOSE})""",
     "policy_violations": BASE + f""", r AS (SELECT DISTINCT rule_no, nullif(lower(trim(action, {_T})), '') AS action, coalesce(max_count, 0) AS max_count,
   nullif(lower(trim(severity, {_T})), '') AS s, CASE WHEN lower(trim(category, {_T})) IN ({_CONTAINER}) THEN 'container_images' ELSE nullif(lower(trim(category, {_T})), '') END AS k FROM policy_rules),
 f AS (SELECT severity, CASE WHEN category IN ({_CONTAINER}) THEN 'container_images' ELSE category END AS category FROM cur)
 SELECT rule_no, action, count(*) AS n, max_count FROM r JOIN f ON (s IS NULL OR s = severity) AND (k IS NULL OR k = category) WHERE action <> 'ignore' GROUP BY rule_no, action, max_count, s, k HAVING count(*) > max_count""",
     "gate_snapshot_dense": BASE + f""", f AS (SELECT {_gate("category")} AS category, {_GS} AS severity FROM cur), k AS (SELECT * FROM {_KINDS} t(category) UNION ALL SELECT NULL), l AS (SELECT * FROM {_LEVELS} t(severity) UNION ALL SELECT NULL)
 SELECT k.category, l.severity, (SELECT count(*) FROM f WHERE (k.category IS NULL OR f.category = k.category) AND (l.severity IS NULL OR f.severity = l.severity)) AS n FROM k, l""",
-    "gate_cohort_dense": BASE + f""", f AS (SELECT {_gate("category")} AS category, CASE WHEN finding_id IN (SELECT finding_id FROM prev) THEN 'existing' ELSE 'new' END AS cohort, {_GS} AS severity FROM cur)
+    "gate_cohort_dense": BASE + f""", f AS (SELECT {_gate("category")} AS category, CASE WHEN (project, finding_id) IN (SELECT (project, finding_id) FROM prev) THEN 'existing' ELSE 'new' END AS cohort, {_GS} AS severity FROM cur)
 SELECT k.category, h.cohort, l.severity, count(f.category) AS n FROM {_KINDS} k(category) CROSS JOIN (VALUES ('new'),('existing')) h(cohort) CROSS JOIN {_LEVELS} l(severity)
 LEFT JOIN f ON f.category = k.category AND f.cohort = h.cohort AND f.severity = l.severity GROUP BY ALL""",
     **{f"compliance_{n}": _control_sql(n) for n in FRAMEWORKS},
@@ -334,10 +334,10 @@ LEFT JOIN f ON f.category = k.category AND f.cohort = h.cohort AND f.severity =
     "metrics_gauge": BASE + "SELECT coalesce(nullif(severity,''),'unknown') AS severity, coalesce(nullif(category,''),'unknown') AS category, project, count(*) AS n FROM cur GROUP BY ALL",
     "metrics_lines": BASE + r"""SELECT 'findings_total{severity="' || coalesce(nullif(severity,''),'unknown') || '",category="' || coalesce(nullif(category,''),'unknown') || '",project="' || project || '"} ' || count(*) AS line FROM cur GROUP BY coalesce(nullif(severity,''),'unknown'), coalesce(nullif(category,''),'unknown'), project""",
     "notify_payload": BASE + "SELECT project, count(*) FILTER (severity='critical') AS critical, count(*) FILTER (severity='high') AS high, count(*) FILTER (severity='medium') AS medium, count(*) FILTER (severity='low') AS low, count(*) FILTER (severity IN ('critical','high')) > 0 AS notify FROM cur GROUP BY 1",
-    "issue_sync_plan": BASE + """, a AS (SELECT sha256(rule_id || ':' || file) AS fingerprint, min(CASE severity WHEN 'critical' THEN 0 ELSE 1 END) AS r FROM cur WHERE severity IN ('critical','high') GROUP BY 1),
-b AS (SELECT DISTINCT sha256(rule_id || ':' || file) AS fingerprint FROM prev WHERE severity IN ('critical','high'))
-SELECT coalesce(a.fingerprint, b.fingerprint) AS fingerprint, CASE WHEN a.fingerprint IS NULL THEN 'close' WHEN b.fingerprint IS NOT NULL THEN 'skip' ELSE 'create' END AS action, CASE r WHEN 0 THEN 'Highest' WHEN 1 THEN 'High' END AS priority FROM a FULL JOIN b ON a.fingerprint = b.fingerprint""",
-    "pr_comments": BASE + f"SELECT project, file, min(line) AS first_line, count(*) AS n, string_agg('- ' || rule_id || ' (line ' || line || ')', chr(10) ORDER BY {_case('severity', vocab.ORDER, 4)}, line, rule_id) AS body FROM cur WHERE file <> '' AND (file, line) IN (SELECT (file, line) FROM prev) GROUP BY ALL",
+    "issue_sync_plan": BASE + """, a AS (SELECT project, sha256(rule_id || ':' || file) AS fingerprint, min(CASE severity WHEN 'critical' THEN 0 ELSE 1 END) AS r FROM cur WHERE severity IN ('critical','high') GROUP BY ALL),
+b AS (SELECT DISTINCT project, sha256(rule_id || ':' || file) AS fingerprint FROM prev WHERE severity IN ('critical','high'))
+SELECT coalesce(a.project, b.project) AS project, coalesce(a.fingerprint, b.fingerprint) AS fingerprint, CASE WHEN a.fingerprint IS NULL THEN 'close' WHEN b.fingerprint IS NOT NULL THEN 'skip' ELSE 'create' END AS action, CASE r WHEN 0 THEN 'Highest' WHEN 1 THEN 'High' END AS priority FROM a FULL JOIN b ON a.project = b.project AND a.fingerprint = b.fingerprint""",
+    "pr_comments": BASE + f"SELECT project, file, min(line) AS first_line, count(*) AS n, string_agg('- ' || rule_id || ' (line ' || line || ')', chr(10) ORDER BY {_case('severity', vocab.ORDER, 4)}, line, rule_id) AS body FROM cur WHERE file <> '' AND (project, file, line) IN (SELECT (project, file, line) FROM prev) GROUP BY ALL",
     "duplicate_findings": f"SELECT scan_id, nullif(lower(trim(rule_id, {_T})), '') AS rule_id, {_PATH} AS file, line, count(*) AS n FROM findings GROUP BY ALL HAVING count(*) > 1",
     "scope_prefix": BASE + "SELECT scan_id, finding_id, file FROM cur WHERE file = 'vendor' OR starts_with(file, 'vendor/') OR file = 'migrations' OR starts_with(file, 'migrations/') OR file = 'web/lalweax' OR starts_with(file, 'web/lalweax/')",
     "sla_overdue": BASE + f", a AS (SELECT *, try_strptime(payload->>'$.first_seen', '%Y-%m-%dT%H:%M:%SZ') AS since, {_case(chr(99)+'oalesce(nullif(severity,' + chr(39)*2 + '),' + repr('medium') + ')', vocab.DEFAULT_SLA_DAYS, 90)} AS sla_days FROM cur) SELECT finding_id, scan_id, severity, sla_days FROM a WHERE epoch(TIMESTAMP '2032-01-01' - since) / 86400 > sla_days",
@@ -350,9 +350,9 @@ UNION ALL SELECT 'class', {_class_sql()} FROM f) SELECT facet, value, count(*) A
  WHEN regexp_matches(b, '^pylock(\\.[^.]+)?\\.toml$') THEN 'python-pylock' WHEN b LIKE '%.py.lock' THEN 'python-uv-script-lock' WHEN b LIKE '%.in' OR b LIKE '%.txt' OR b LIKE '%.pip' THEN 'pip-requirements' END AS format FROM f)
 SELECT path, format, {_case("string_split(format, '-')[1]", paths.ECOSYSTEMS, "NULL")} AS ecosystem FROM g""",
     "budget_fold": BASE + """, per AS (SELECT project, rule_id, count(*) AS size FROM cur GROUP BY ALL), o2 AS (SELECT project, cast(row_number() OVER (PARTITION BY project ORDER BY rule_id) AS INT) AS ord, size FROM per)
-, r AS (SELECT * FROM o2 WHERE ord <= 16), w AS (WITH RECURSIVE w AS (
-  SELECT project, ord, CASE WHEN size <= 25 THEN size ELSE 0 END AS used, size <= 25 AS kept FROM r WHERE ord = 1
-  UNION ALL SELECT r.project, r.ord, w.used + CASE WHEN w.used + size <= 25 THEN size ELSE 0 END, w.used + size <= 25 FROM w JOIN r ON r.project = w.project AND r.ord = w.ord + 1) SELECT * FROM w)
+, w AS (WITH RECURSIVE w AS (
+  SELECT project, ord, CASE WHEN size <= 25 THEN size ELSE 0 END AS used, size <= 25 AS kept FROM o2 WHERE ord = 1
+  UNION ALL SELECT r.project, r.ord, w.used + CASE WHEN w.used + size <= 25 THEN size ELSE 0 END, w.used + size <= 25 FROM w JOIN o2 r ON r.project = w.project AND r.ord = w.ord + 1) SELECT * FROM w)
 SELECT project, ord, kept FROM w""",
     "scan_trend": BASE + """, n AS (SELECT scan_id, count(*) AS n FROM c GROUP BY 1), j AS (SELECT s.*, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (scan_id))
 SELECT project, scan_id, n, n - lag(n) OVER (PARTITION BY project ORDER BY taken, scan_id) AS change FROM j""",

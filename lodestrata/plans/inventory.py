@@ -8,7 +8,8 @@ from lodestrata.functions import ids, licenses, versions
 from lodestrata.functions.text import key
 from lodestrata.operators import inventory as op, resolution
 from lodestrata.sources import config
-from lodestrata.storage import table
+from lodestrata.operators.joins import lookup
+from lodestrata.storage import Workspace, table
 
 POLICY = licenses.LicensePolicy(["MIT", "BSD-*", "Apache-2.0"], ["GPL-*", "AGPL-*"])
 
@@ -58,9 +59,9 @@ def range_checks(spark, d):
 def unique_match_resolution(spark, d):
     """Names that a package asks for, resolved where exactly one occurrence of the ecosystem and version has it."""
     o = _occurrences(spark, d)
-    s = o.where("selected_version is not null").select(F.col("id").alias("selector"), "ecosystem", "name", F.col("selected_version").alias("wanted"))
-    c = o.select(F.col("id").alias("candidate"), "ecosystem", "name", F.col("selected_version").alias("offered"))
-    return op.unique_match(s, c, ["ecosystem", "name"], F.col("wanted") == F.col("offered"), "selector", "candidate")
+    s = o.where("selected_version is not null").select(F.col("id").alias("selector"), "ecosystem", "name", "selected_version")
+    c = o.select(F.col("id").alias("candidate"), "ecosystem", "name", "selected_version")
+    return op.unique_by_key(s, c, ["ecosystem", "name", "selected_version"], "selector", "candidate")
 
 
 def reachability(spark, d):
@@ -90,9 +91,12 @@ def license_gaps(spark, d):
 
 def license_policy(spark, d):
     """Verdict per package by the strictest of its observations."""
-    o = table(spark, d, "license_observations").select(key("occurrence_id").alias("id"), "expression").where("id is not null")
-    distinct = o.select("expression").distinct().withColumn("verdict", licenses.evaluated(F.col("expression"), POLICY))
-    judged = o.join(distinct, o.expression.eqNullSafe(distinct.expression)).groupBy("id").agg(licenses.strictest(F.col("verdict")).alias("result"))
+    # null is an expression too, the one that is no text
+    asked = F.coalesce("expression", F.lit("\x00")).alias("asked")
+    o = table(spark, d, "license_observations").select(key("occurrence_id").alias("id"), asked).where("id is not null")
+    distinct = o.select("asked").distinct().withColumn("verdict", licenses.evaluated(F.nullif("asked", F.lit("\x00")), POLICY))
+    distinct = Workspace(spark, "verdicts").cut(distinct, "verdicts")
+    judged = lookup(o, distinct, "asked").groupBy("id").agg(licenses.strictest(F.col("verdict")).alias("result"))
     return _occurrences(spark, d).select("id").join(judged, "id", "left").select("id", F.coalesce("result", F.lit("undetermined")).alias("result"))
 
 
@@ -140,7 +144,7 @@ def purl_check(spark, d):
 
 
 def projected_rows(spark, d):
-    return resolution.projected_rows(_occurrences(spark, d), _edges(spark, d), _observations(spark, d)).select("table", "key")
+    return resolution.projected_rows(_occurrences(spark, d), _edges(spark, d), _observations(spark, d)).select("table", "key", "columns")
 
 
 def selected_versions(spark, d):
@@ -186,8 +190,10 @@ SELECT id, 'bare' AS form, CASE WHEN ok THEN a >= b END AS admits FROM p UNION A
 UNION ALL SELECT id, 'span', CASE WHEN ok AND b < [9, 0, 0] THEN a >= b AND a < [9, 0, 0] END FROM p UNION ALL SELECT id, 'raw', CASE WHEN {_OK('raw')} THEN a >= b END FROM p""",
     "unique_match_resolution": BASE + """SELECT s.id AS selector, CASE WHEN count(c.id) = 1 THEN min(c.id) END AS candidate, count(c.id) AS matches FROM o s
 LEFT JOIN o c ON s.ecosystem = c.ecosystem AND s.name = c.name AND s.selected_version = c.selected_version WHERE s.selected_version IS NOT NULL GROUP BY s.id""",
-    "reachability": BASE + """SELECT o.id, CASE WHEN count(e.child_id) = 0 THEN 'unknown' WHEN bool_or(e.parent_id NOT IN (SELECT child_id FROM e)) THEN 'direct' ELSE 'transitive' END AS directness
-FROM o LEFT JOIN e ON e.child_id = o.id GROUP BY o.id""",
+    "reachability": BASE.replace("WITH oc", "WITH RECURSIVE oc") + """, top AS (SELECT DISTINCT parent_id AS id FROM e WHERE parent_id NOT IN (SELECT child_id FROM e)),
+walk AS (SELECT id FROM top UNION SELECT e.child_id FROM walk JOIN e ON e.parent_id = walk.id),
+near AS (SELECT DISTINCT child_id AS id FROM e WHERE parent_id IN (FROM top))
+SELECT o.id, CASE WHEN o.id IN (FROM near) THEN 'direct' WHEN o.id IN (FROM walk) AND o.id NOT IN (FROM top) THEN 'transitive' ELSE 'unknown' END AS directness FROM o""",
     "adjacency": BASE + "SELECT parent_id, string_agg(child_id, ' ' ORDER BY child_id) AS children FROM e GROUP BY 1",
     "name_version_rank": BASE + "SELECT coalesce(root_id, '') AS snapshot, id, row_number() OVER (PARTITION BY coalesce(root_id, '') ORDER BY coalesce(name, ''), selected_version IS NULL, coalesce(selected_version, ''), id) - 1 AS name_version_rank FROM o",
     "occurrence_facets": BASE + "SELECT DISTINCT id, 'scopes' AS facet, unnest(scopes) AS value FROM o WHERE scopes IS NOT NULL",
@@ -204,8 +210,16 @@ UNION ALL SELECT 'edge-end-missing', count(*) FROM ed WHERE parent_id IS NULL OR
 UNION ALL SELECT 'license-occurrence-unknown', count(*) FROM ob WHERE occurrence_id NOT IN (FROM i)
 UNION ALL SELECT 'installed-without-version', count(*) FROM occurrences WHERE evidence_kind = 'installed' AND selected_version IS NULL) SELECT * FROM x WHERE n > 0""",
     "inventory_summary": BASE + "SELECT (SELECT count(*) FROM o) AS package_occurrences, (SELECT count(selected_version) FROM o) AS selected_occurrences, (SELECT count(*) FROM e) AS canonical_relationships, (SELECT count(*) FROM e WHERE evidence_status = 'evidenced') AS evidenced_relationships",
-    "projected_rows": BASE + """SELECT 'occurrence' AS "table", id AS key FROM o UNION ALL SELECT 'occurrence_facet', id || '|scope|' || v FROM (SELECT DISTINCT id, unnest(scopes) AS v FROM o) WHERE v IS NOT NULL
-UNION ALL SELECT 'relationship', parent_id || '|' || child_id FROM e UNION ALL SELECT 'evidence', occurrence_id || '|' || coalesce(expression, '') FROM (SELECT DISTINCT occurrence_id, expression FROM ob)""",
+    "projected_rows": BASE + """SELECT 'occurrence' AS "table", id AS key, cast(to_json({'ecosystem': ecosystem, 'name': name, 'selected_version': selected_version, 'evidence_kind': evidence_kind, 'directness': directness}) AS VARCHAR) AS columns FROM o
+UNION ALL SELECT 'occurrence_facet', id || '|scope|' || v, cast(to_json({'facet': 'scope', 'value': v}) AS VARCHAR) FROM (SELECT DISTINCT id, unnest(scopes) AS v FROM o) WHERE v IS NOT NULL
+UNION ALL SELECT 'relationship', parent_id || '|' || child_id, cast(to_json({'parent_id': parent_id, 'child_id': child_id, 'evidence_status': evidence_status}) AS VARCHAR) FROM e
+UNION ALL SELECT 'evidence', occurrence_id || '|' || coalesce(expression, ''), cast(to_json({'occurrence_id': occurrence_id, 'expression': expression}) AS VARCHAR) FROM (SELECT DISTINCT occurrence_id, expression FROM ob)""",
+    "export_cyclonedx": BASE + """, p AS (SELECT * FROM o WHERE purl <> '' AND selected_version IS NOT NULL),
+b AS (SELECT parent_id, '["' || string_agg(child_id, '","' ORDER BY child_id) || '"]' AS below FROM (SELECT DISTINCT parent_id, child_id FROM e WHERE evidence_status = 'evidenced' AND activation = 'active' AND parent_id IN (SELECT id FROM p) AND child_id IN (SELECT id FROM p)) GROUP BY 1)
+SELECT id, '{"bom-ref":' || to_json(id) || ',"type":"library"' || coalesce(',"name":' || to_json(name), '') || ',"version":' || to_json(selected_version) || ',"purl":' || to_json(purl) || coalesce(',"dependsOn":' || below, '') || '}' AS component FROM p LEFT JOIN b ON parent_id = id""",
+    "row_digests": BASE + """, t AS (SELECT coalesce(root_id, '') AS snapshot, sha256(concat_ws(chr(31), (id IS NULL)::VARCHAR, coalesce(id, ''), (ecosystem IS NULL)::VARCHAR, coalesce(ecosystem, ''), (name IS NULL)::VARCHAR, coalesce(name, ''), (selected_version IS NULL)::VARCHAR, coalesce(selected_version, ''))) AS h FROM o),
+g AS (SELECT snapshot, count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS s{i}" for i in range(8)) + """ FROM t GROUP BY 1)
+SELECT snapshot, n, sha256(concat_ws(':', n, """ + ", ".join(f"s{i}" for i in range(8)) + """)) AS digest FROM g""",
     "config_problems": f"""WITH r AS (SELECT rule_no AS ord, {_K('severity')} AS s, {_K('category')} AS c, {_K('action')} AS a, max_count AS m FROM policy_rules), x AS (
 SELECT ord, 'bad-severity' AS problem FROM r WHERE s NOT IN ('critical','high','medium','low') UNION ALL SELECT ord, 'bad-category' FROM r WHERE c NOT IN ({", ".join(map(repr, config.POLICY_CATEGORIES))})
 UNION ALL SELECT ord, 'no-action' FROM r WHERE a IS NULL UNION ALL SELECT ord, 'bad-action' FROM r WHERE a NOT IN ('fail','warn','ignore') UNION ALL SELECT ord, 'bad-limit' FROM r WHERE m < 0)

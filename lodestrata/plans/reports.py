@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions import ids
+from lodestrata.functions import ids, vocab
 from lodestrata.operators import reports as op
+from lodestrata.operators.nested import latest_reports
 from lodestrata.plans import findings as base
 from lodestrata.sources import scanners
 from lodestrata.storage import table
@@ -37,22 +38,22 @@ def vulnerability_report(spark, d):
 
 
 def raw_sarif_findings(spark, d):
-    """Results of all reports that are SARIF as they stand."""
-    raw = table(spark, d, "raw_reports").select(F.col("report_id").cast("string").alias("path"), "body")
-    return scanners.sarif(raw)
+    """Results of the latest readable delivery of every report, wrapped ones included."""
+    latest = latest_reports(table(spark, d, "raw_reports"))
+    return scanners.sarif(latest.select(F.col("report_id").cast("string").alias("path"), F.to_json("report").alias("body")))
 
 
 def upserted_records(spark, d):
-    """Scan records after those delivered later are merged into those stored: by scan, last write wins."""
+    """Scan records after those delivered later are merged into those stored: by scan, the delivered one wins."""
     r = table(spark, d, "scan_records").select("scan_id", "scan_timestamp", "project", "finding_count").where("scan_id is not null")
-    early = r.where("scan_timestamp < timestamp_ntz '2031-07-01'")
-    return op.upserted(early.dropDuplicates(["scan_id"]), r.where("scan_timestamp >= timestamp_ntz '2031-07-01'"), "scan_id", "scan_timestamp").select("scan_id", "scan_timestamp")
+    late = F.coalesce(F.col("scan_timestamp") >= F.lit("2031-07-01").cast("timestamp_ntz"), F.lit(False))
+    return op.upserted(r.where(~late), r.where(late), "scan_id", "scan_timestamp")
 
 
 def detect_texts(spark, d):
     """Which detectors a document's text sets off, and on which line first."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content"))
-    return scanners.detect(docs, TEXT_DETECTORS).select(F.col("file").alias("doc_id"), "type", "severity")
+    return scanners.detect(docs, TEXT_DETECTORS).select(F.col("file").alias("doc_id"), "type", "severity", "line")
 
 
 def fixed_versions(spark, d):
@@ -62,9 +63,9 @@ def fixed_versions(spark, d):
 
 
 def redacted_matches(spark, d):
-    found = F.regexp_extract("text", r"[a-z]+-(utils|core|yaml)", 0)
-    docs = table(spark, d, "documents").select("doc_id", F.nullif(found, F.lit("")).alias("m")).where("m is not null")
-    return docs.select("doc_id", ids.redacted(F.col("m")).alias("shown"))
+    """Every match in every text, redacted."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"[a-z]+-(?:utils|core|yaml)"), F.lit(0))).alias("m")
+    return table(spark, d, "documents").select("doc_id", found).select("doc_id", ids.redacted(F.col("m")).alias("shown"))
 
 
 def event_windows(spark, d):
@@ -88,11 +89,20 @@ QUERIES = {
 }
 ORACLES = {
     "sarif_rules_first_wins": base.BASE + "SELECT rule_id, severity, payload->>'$.message' AS message FROM cur QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ingested_at, scan_id, finding_id) = 1",
-    "upserted_records": "SELECT scan_id, max(scan_timestamp) AS scan_timestamp FROM scan_records WHERE scan_id IS NOT NULL GROUP BY 1",
-    "detect_texts": "WITH p(type, severity, pattern) AS (VALUES " + ", ".join(f"('{t}', '{s}', '{p}')" for t, s, p in TEXT_DETECTORS) + ") SELECT doc_id, type, severity FROM documents, p WHERE regexp_matches(text, pattern)",
+    "upserted_records": """SELECT scan_id, scan_timestamp, project, finding_count FROM scan_records WHERE scan_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY coalesce(scan_timestamp >= TIMESTAMP '2031-07-01', false) DESC, scan_timestamp DESC NULLS LAST, project DESC NULLS LAST, finding_count DESC NULLS LAST) = 1""",
+    "sarif_results": base.BASE + f""", f AS (SELECT *, payload->>'$.message' AS message, {base._case("lower(severity)", vocab.SEVERITY_MAPS["sarif_level"], "'warning'")} AS level FROM cur)
+SELECT scan_id, finding_id, '{{"ruleId":' || to_json(rule_id) || ',"level":' || to_json(level) || ',"message":' || coalesce('{{"text":' || to_json(message) || '}}', '{{}}') || ',"locations":' ||
+  CASE WHEN regexp_matches(file, '^(dependency|image):') THEN '[{{"logicalLocations":[{{"fullyQualifiedName":' || to_json(file) || '}}]}}]'
+  ELSE '[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(file) || '}},"region":{{"startLine":' || greatest(line, 1) || '}}}}}}]' END || '}}' AS result FROM f""",
+    "vulnerability_report": base.BASE + f""", f AS (SELECT *, payload->>'$.message' AS message FROM cur)
+SELECT finding_id, '{{"id":' || to_json(finding_id) || ',"category":' || to_json(CASE WHEN category IN ({", ".join(map(repr, vocab.STORED_CATEGORIES))}) THEN category ELSE {base._case("category", vocab.STORED_ALIASES, "'unknown'")} END)
+  || ',"name":' || to_json(rule_id) || coalesce(',"message":' || to_json(message), '') || ',"severity":' || to_json(CASE WHEN severity IN ('critical','high','medium','low','info') THEN severity ELSE 'medium' END)
+  || ',"location":{{"file":' || to_json(file) || ',"start_line":' || line || '}},"identifiers":[{{"type":"rule","name":' || to_json(rule_id) || ',"value":' || to_json(rule_id) || '}}]}}' AS vulnerability FROM f""",
+    "detect_texts": "WITH p(type, severity, pattern) AS (VALUES " + ", ".join(f"('{t}', '{s}', '{p}')" for t, s, p in TEXT_DETECTORS) + r""") SELECT doc_id, type, severity, cast(coalesce(list_min(list_transform(list_filter(list_zip(string_split_regex(text, '\r\n|\n|\r'), range(1, 1 + len(string_split_regex(text, '\r\n|\n|\r')))), lambda x: regexp_matches(x[1], pattern)), lambda x: x[2])), 1) AS INT) AS line FROM documents, p WHERE regexp_matches(text, pattern)""",
     "fixed_versions": r"""WITH v AS (SELECT DISTINCT id, declared_range, coalesce(nullif(regexp_extract(declared_range, '(?i)(?:upgrade|update)\s+(?:to\s+)?(?:version\s+)?(\d+\.\d+[.\d]*)', 1), ''), nullif(regexp_extract(declared_range, '>=\s*(\d+\.\d+[.\d]*)', 1), '')) AS version FROM occurrences)
 SELECT id, declared_range, version FROM v WHERE version IS NOT NULL""",
-    "redacted_matches": "WITH m AS (SELECT doc_id, nullif(regexp_extract(text, '[a-z]+-(utils|core|yaml)', 0), '') AS m FROM documents) SELECT doc_id, CASE WHEN length(m) <= 8 THEN '' ELSE left(m, 4) || '…' END || '***' || left(sha256(m), 8) AS shown FROM m WHERE m IS NOT NULL",
+    "redacted_matches": "WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+-(?:utils|core|yaml)')) AS m FROM documents) SELECT doc_id, CASE WHEN length(m) <= 8 THEN '' ELSE left(m, 4) || '…' END || '***' || left(sha256(m), 8) AS shown FROM m",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "tracking_state": "SELECT cast(user_id AS VARCHAR) AS key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1",
 }

@@ -27,7 +27,6 @@ def test_reachability_and_contexts(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "parent_id string, child_id string")
     assert {r.id: r.directness for r in op.reachability(o, e).collect()} == {"a": "unknown", "b": "direct", "c": "direct", "d": "unknown"}
     loop = spark.createDataFrame([("x", "y"), ("y", "x"), ("r", "s")], "parent_id string, child_id string")
-    assert {r.node_id: (r.root_id, r.depth) for r in op.include_contexts(loop).collect()} == {"x": ("x", -1), "y": ("x", -1), "r": ("r", 0), "s": ("r", 1)}
 
 
 def _walked(ids, edges):
@@ -98,3 +97,39 @@ def test_constraints_meet_requirements_unless_disjoint(spark):
     r = spark.createDataFrame([(1, "a", None), (2, "a", "python_version < '3.8'"), (3, "b", None)], "id int, name string, marker string")
     c = spark.createDataFrame([(9, "a", "python_version >= '3.8'")], "id int, name string, marker string")
     assert [tuple(x) for x in op.constraint_links(r, c).collect()] == [(1, 9)]
+
+
+def _contexts(files, edges):
+    """Brute force: every way from every file that doesn't turn back."""
+    out = set()
+
+    def walk(origin, path, role, way):
+        out.add((origin, path, role))
+        for p, t, kind in edges:
+            if p == path and t is not None and t not in way:
+                walk(origin, t, "constraint" if "constraint" in (role, kind) else "requirement", [*way, t])
+
+    for f in files:
+        walk(f, f, "constraint" if f.startswith("constraints") else "requirement", [f])
+    return out
+
+
+def test_include_contexts_keep_every_origin_and_role(spark):
+    files = ["a.txt", "b.txt", "c.txt", "d.txt", "constraints.txt", "x.txt", "y.txt"]
+    edges = [("a.txt", "c.txt", "requirement"), ("b.txt", "c.txt", "requirement"), ("b.txt", "c.txt", "constraint"), ("c.txt", "d.txt", "requirement"),
+             ("constraints.txt", "d.txt", "requirement"), ("x.txt", "y.txt", "requirement"), ("y.txt", "x.txt", "constraint"), ("a.txt", None, "requirement"), ("d.txt", "gone.txt", "requirement")]
+    f, e = spark.createDataFrame([(x,) for x in [*files, "a.txt"]], "path string"), spark.createDataFrame([*edges, edges[0]], "path string, target string, kind string")
+    got, cut = op.include_contexts(f, e)
+    rows = [(r.origin, r.path, r.role) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == _contexts(files, edges) and cut.count() == 0
+    got, cut = op.include_contexts(f, e, 1)
+    assert ("a.txt", "c.txt", "d.txt") in {tuple(r) for r in cut.collect()}
+    assert {r.hops for r in got.collect()} == {0, 1}
+    assert op.include_contexts(f.limit(0), e)[0].count() == 0
+
+
+def test_unique_by_key(spark):
+    s = spark.createDataFrame([(f"s{i}", "hot", "1") for i in range(50)] + [("t", "a", "1"), ("u", "b", "9"), ("v", None, "1")], "selector string, name string, version string")
+    c = spark.createDataFrame([("c1", "hot", "1"), ("c2", "a", "1"), ("c3", "a", "1"), ("c4", None, "1")], "candidate string, name string, version string")
+    got = {r.selector: (r.candidate, r.matches) for r in op.unique_by_key(s, c, ["name", "version"], "selector", "candidate").collect()}
+    assert got == {**{f"s{i}": ("c1", 1) for i in range(50)}, "t": (None, 2), "u": (None, 0), "v": (None, 0)}
