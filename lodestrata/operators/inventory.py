@@ -73,10 +73,10 @@ def nearest_ancestor(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return requests.select("path", "name").distinct().join(best, ["path", "name"], "left")
 
 
-def _reached(edges: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
+def reached(edges: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
     """(id): the roots and every node that a walk along the edges comes to from one of them.
 
-    `edges` is written, `roots`: (id) are the parents that nothing names. A node with one parent is
+    `edges` is written, `roots`: (id) are parents that nothing names, all or some of them. A node with one parent is
     reached exactly if the parent is, so it first follows its parents, two hops, four, eight and so on, to
     the next root or node of several parents; what never settles hangs on a loop that no root leads to.
     What is left is walked level by level: one job a node of several parents on the way, not one a link.
@@ -117,7 +117,7 @@ def reachability(occurrences: DataFrame, edges: DataFrame) -> DataFrame:
     work = Workspace(occurrences.sparkSession, "reachability")
     edges = work.cut(edges.select("parent_id", "child_id"), "edges")
     roots = work.cut(edges.select(F.col("parent_id").alias("id")).distinct().join(edges.select(F.col("child_id").alias("id")), "id", "left_anti"), "roots")
-    inner = _reached(edges, roots, work).join(roots, "id", "left_anti").select("id", F.lit("transitive").alias("_how"))
+    inner = reached(edges, roots, work).join(roots, "id", "left_anti").select("id", F.lit("transitive").alias("_how"))
     direct = edges.join(roots.select(F.col("id").alias("parent_id")), "parent_id").select(F.col("child_id").alias("id"), F.lit("direct").alias("_how"))
     nearest = inner.unionAll(direct).groupBy("id").agg(F.min("_how").alias("_how"))
     return occurrences.select("id").join(nearest, "id", "left").select("id", F.coalesce("_how", F.lit("unknown")).alias("directness"))

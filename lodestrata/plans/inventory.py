@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, licenses, versions
 from lodestrata.functions.text import key
-from lodestrata.operators import inventory as op, resolution
-from lodestrata.sources import config
+from lodestrata.operators import composition, inventory as op, resolution
+from lodestrata.sources import config, packages
 from lodestrata.operators.joins import lookup
 from lodestrata.storage import Workspace, table
 
@@ -154,6 +154,52 @@ def selected_versions(spark, d):
     return resolution.selected_versions(asked.select(F.col("ecosystem").alias("project"), "ecosystem", "name", F.col("declared_range").alias("range"), "pin"))
 
 
+def lock_files(spark, d):
+    """(path, content): a small lock file of every edge between two packages of one ecosystem with a name and version.
+
+    The parent asks for the child by the range that the child's record declares.
+    """
+    o = _occurrences(spark, d).where("name is not null and selected_version is not null").select("id", "ecosystem", "name", "selected_version", "declared_range")
+    side = lambda p: o.select(*[F.col(c).alias(f"{p}_{c}") for c in o.columns])
+    e = _edges(spark, d).select("parent_id", "child_id").join(side("child"), "child_id").join(side("parent"), "parent_id").where("parent_ecosystem = child_ecosystem")
+    pn, pv, cn, cv, r = (F.col(x) for x in ("parent_name", "parent_selected_version", "child_name", "child_selected_version", "child_declared_range"))
+    q = lambda x: F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    asked, folder = F.coalesce(r, F.lit("*")), F.concat_ws("/", F.lit("locks"), "parent_id", "child_id")
+    npm = F.concat(F.lit('{"lockfileVersion":3,"packages":{"":{"dependencies":{'), q(pn), F.lit(':"*"}},'), q(F.concat(F.lit("node_modules/"), pn)), F.lit(':{"version":'), q(pv), F.lit(',"dependencies":{'), q(cn), F.lit(":"), q(asked),
+                   F.lit("}},"), q(F.concat(F.lit("node_modules/"), pn, F.lit("/node_modules/"), cn)), F.lit(':{"version":'), q(cv), F.lit("}}}"))
+    source = F.lit('source = "registry+https://index.example/i"\n')
+    toml = lambda n, v, more: F.concat(F.lit("[[package]]\nname = "), q(n), F.lit("\nversion = "), q(v), F.lit("\n"), more)
+    cargo = F.concat(toml(pn, pv, F.concat(source, F.lit("dependencies = ["), q(F.concat(cn, F.lit(" "), cv)), F.lit("]\n"))), toml(cn, cv, source))
+    poetry = F.concat(toml(pn, pv, F.concat(F.lit("[package.dependencies]\n"), q(cn), F.lit(" = "), q(asked), F.lit("\n"))), toml(cn, cv, F.lit("")))
+    plain = F.regexp_replace(asked, r"^[\^~>=*]+", "")
+    nuget = F.concat(F.lit('{"dependencies":{"net8.0":{'), q(pn), F.lit(':{"type":"Direct","resolved":'), q(pv), F.lit(',"dependencies":{'), q(cn), F.lit(":"), q(F.when(plain == "", cv).otherwise(plain)), F.lit("}},"), q(cn),
+                     F.lit(':{"type":"Transitive","resolved":'), q(cv), F.lit("}}}}"))
+    files = {"npm": ("package-lock.json", npm), "cargo": ("Cargo.lock", cargo), "pypi": ("poetry.lock", poetry), "nuget": ("packages.lock.json", nuget)}
+    path = content = None
+    for ecosystem, (name, text) in files.items():
+        of = F.col("child_ecosystem") == ecosystem
+        path = F.when(of, F.concat(folder, F.lit(f"/{name}"))) if path is None else path.when(of, F.concat(folder, F.lit(f"/{name}")))
+        content = F.when(of, text) if content is None else content.when(of, text)
+    return e.select(path.alias("path"), content.alias("content")).where("path is not null")
+
+
+def _composed(spark, d):
+    return composition.composed(packages.read_packages(lock_files(spark, d)))
+
+
+def composed_selectors(spark, d):
+    """What every dependency entry of the lock files resolves to, and why."""
+    return _composed(spark, d).selectors.select("path", "name", "declared_range", "exact_version", "disposition", "reason")
+
+
+def composed_occurrences(spark, d):
+    return _composed(spark, d).occurrences.select("path", "ecosystem", "name", "selected_version", "declared_range", "directness")
+
+
+def composed_coverage(spark, d):
+    return _composed(spark, d).coverage.select("path", "format", "disposition", "unresolved", "fidelity")
+
+
 def config_problems(spark, d):
     """What is wrong with the policy rules as they were typed."""
     rules = table(spark, d, "policy_rules").select(F.col("rule_no").alias("ord"), "severity", "category", F.col("max_count").cast("string").alias("max_count"), "action")
@@ -165,7 +211,7 @@ QUERIES = {
     for f in (
         occurrences_latest, relationships_latest, nuget_range, range_checks, unique_match_resolution, reachability, adjacency, name_version_rank, occurrence_facets, license_state,
         license_gaps, license_policy, license_classes, export_components, export_dependencies, export_cyclonedx, integrity_violations, inventory_summary, unique_declared_range,
-        row_digests, purl_check, projected_rows, selected_versions, config_problems,
+        row_digests, purl_check, projected_rows, selected_versions, config_problems, composed_selectors, composed_occurrences, composed_coverage,
     )
 }
 
@@ -226,3 +272,30 @@ UNION ALL SELECT ord, 'no-action' FROM r WHERE a IS NULL UNION ALL SELECT ord, '
 SELECT DISTINCT 'policy' AS section, ord, problem FROM x""",
     "unique_declared_range": BASE + "SELECT concat_ws('/', ecosystem, name) AS child, min(declared_range) AS declared_range FROM o WHERE declared_range IS NOT NULL GROUP BY 1 HAVING count(DISTINCT declared_range) = 1",
 }
+
+#: What the lock files of `lock_files` come to, from the edges; versions and ranges of the tables are plain numbers.
+_LOCKS = BASE + r""", j AS (
+  SELECT 'locks/' || p.id || '/' || k.id AS folder, k.ecosystem AS eco, p.name AS pn, p.selected_version AS pv, k.name AS cn, k.selected_version AS cv, k.declared_range AS r
+  FROM e JOIN o p ON p.id = e.parent_id JOIN o k ON k.id = e.child_id WHERE p.ecosystem = k.ecosystem AND p.name IS NOT NULL AND k.name IS NOT NULL AND p.selected_version IS NOT NULL AND k.selected_version IS NOT NULL),
+n AS (SELECT * REPLACE (CASE eco WHEN 'pypi' THEN lower(regexp_replace(pn, '[-_.]+', '-', 'g')) WHEN 'nuget' THEN lower(pn) ELSE pn END AS pn, CASE eco WHEN 'pypi' THEN lower(regexp_replace(cn, '[-_.]+', '-', 'g')) WHEN 'nuget' THEN lower(cn) ELSE cn END AS cn),
+  folder || CASE eco WHEN 'npm' THEN '/package-lock.json' WHEN 'cargo' THEN '/Cargo.lock' WHEN 'pypi' THEN '/poetry.lock' ELSE '/packages.lock.json' END AS path,
+  CASE WHEN eco = 'nuget' AND regexp_replace(coalesce(r, ''), '^[\^~>=]+', '') = '' THEN cv WHEN eco = 'nuget' THEN regexp_replace(r, '^[\^~>=]+', '') ELSE coalesce(r, '*') END AS asked FROM j WHERE eco IN ('npm', 'cargo', 'pypi', 'nuget')),
+b AS (SELECT *, eco = 'nuget' AND pn = cn AS broken,
+  list_transform(string_split(cv, '.'), lambda x: cast(x AS BIGINT)) AS v, list_transform(string_split(pv, '.'), lambda x: cast(x AS BIGINT)) AS u, list_transform(string_split(regexp_replace(CASE WHEN asked = '*' THEN '0.0.0' ELSE asked END, '^[\^~>=]+', ''), '.'), lambda x: cast(x AS BIGINT)) AS w FROM n),
+t AS (SELECT *, CASE WHEN asked LIKE '^%' AND w[1] > 0 THEN [w[1] + 1, 0, 0] WHEN asked LIKE '^%' AND w[2] > 0 THEN [0, w[2] + 1, 0] WHEN asked LIKE '^%' THEN [0, 0, w[3] + 1] WHEN asked LIKE '~%' THEN [w[1], w[2] + 1, 0] ELSE [99999999, 0, 0] END AS top FROM b),
+ok AS (SELECT *, v >= w AND v < top AS fits, u >= w AND u < top AS pfits, regexp_full_match(cn, x) AS good, regexp_full_match(pn, x) AS pgood FROM (SELECT *, CASE eco WHEN 'npm' THEN '(@[^/@]+/)?[^/@]+' WHEN 'pypi' THEN '[a-z0-9]+(-[a-z0-9]+)*' ELSE '[^/@]+' END AS x FROM t)),
+a AS (SELECT *, CASE eco
+  WHEN 'npm' THEN CASE WHEN NOT good THEN 'npm-source-endpoint-not-admitted' WHEN fits THEN 'unique-source-endpoint' ELSE 'npm-selector-version-mismatch' END
+  WHEN 'cargo' THEN CASE WHEN pn = cn AND pv = cv THEN 'ambiguous-cargo-lock-selector' WHEN good THEN 'unique-source-endpoint' ELSE 'cargo-source-endpoint-not-admitted' END
+  WHEN 'nuget' THEN CASE WHEN NOT good THEN 'missing-nuget-lock-endpoint' WHEN v >= w THEN 'source-nuget-lock-endpoint' ELSE 'contradictory-nuget-dependency-range' END
+  ELSE CASE WHEN fits::INT + (pn = cn AND pfits)::INT > 1 THEN 'ambiguous-lock-dependency' WHEN good AND (fits OR (pn = cn AND pfits)) THEN 'unambiguous-lock-selection' ELSE 'missing-lock-dependency' END END AS reason FROM ok),
+c AS (SELECT *, reason IN ('unique-source-endpoint', 'source-nuget-lock-endpoint', 'unambiguous-lock-selection') AS yes FROM a),
+sel AS (SELECT path, cn AS name, CASE WHEN eco = 'cargo' THEN NULL ELSE asked END AS declared_range, CASE WHEN yes THEN CASE WHEN eco = 'pypi' AND NOT fits THEN pv ELSE cv END END AS exact_version, CASE WHEN yes THEN 'resolved' ELSE 'unresolved' END AS disposition, reason FROM c WHERE NOT broken AND pgood
+  UNION ALL SELECT path, pn, '*', CASE WHEN pgood THEN pv END, CASE WHEN pgood THEN 'resolved' ELSE 'unresolved' END, CASE WHEN pgood THEN 'unique-source-endpoint' ELSE 'npm-source-endpoint-not-admitted' END FROM c WHERE eco = 'npm')
+"""
+ORACLES["composed_selectors"] = _LOCKS + "SELECT path, name, declared_range, exact_version, disposition, reason FROM sel"
+ORACLES["composed_occurrences"] = _LOCKS + """SELECT path, eco AS ecosystem, pn AS name, pv AS selected_version, CASE WHEN eco = 'npm' THEN '*' END AS declared_range, CASE WHEN eco IN ('npm', 'nuget') THEN 'direct' ELSE 'unknown' END AS directness FROM c WHERE NOT broken AND pgood
+UNION ALL SELECT path, eco, cn, cv, NULL, CASE WHEN eco = 'nuget' OR (eco = 'npm' AND yes AND pgood) THEN 'transitive' ELSE 'unknown' END FROM c WHERE NOT broken AND good"""
+ORACLES["composed_coverage"] = _LOCKS + """, un AS (SELECT path, count(*) AS missed FROM sel WHERE disposition = 'unresolved' GROUP BY 1)
+SELECT path, CASE eco WHEN 'npm' THEN 'npm-lock' WHEN 'cargo' THEN 'cargo-lock' WHEN 'pypi' THEN 'python-poetry-lock' ELSE 'nuget-lock' END AS format, CASE WHEN broken THEN 'failed' ELSE 'parsed' END AS disposition, coalesce(missed, 0) AS unresolved,
+  CASE WHEN broken THEN 'failed' WHEN coalesce(missed, 0) = 0 THEN 'complete' ELSE 'partial' END AS fidelity FROM c LEFT JOIN un USING (path)"""

@@ -403,7 +403,8 @@ def cargo_lock(text: str) -> list[dict]:
                        hashes=[f"sha256:{p['checksum']}"] if p.get("checksum") else [], locator=at))
         for j, d in enumerate(p.get("dependencies", [])):
             parts = word(d).split(" ")
-            out.append(row("edge", parts[0], parent=f"{name} {version}", version=parts[1] if len(parts) > 1 else None, locator=f"{at}/dependencies/{j}"))
+            where = registry(parts[2].strip("()").removeprefix("registry+").removeprefix("sparse+")) if len(parts) > 2 else None
+            out.append(row("edge", parts[0], parent=f"{name} {version}", version=parts[1] if len(parts) > 1 else None, registry_sha256=where, locator=f"{at}/dependencies/{j}"))
     return out
 
 
