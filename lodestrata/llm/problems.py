@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.llm import frequency, matching, mixing, quality, tokenizer
-from lodestrata.storage import spread, table
+from lodestrata.storage import Workspace, spread, table
 
 FIELDS = ["rule_id", "severity", "category"]
 
@@ -67,6 +67,12 @@ def p7_shares(spark, d):
     return mixing.shares_reached(mixed, shares)
 
 
+def p7_checks(spark, d):
+    """How often the mix breaks its promises: never."""
+    mixed, shares, _ = mixing.mix(_sources(spark, d), table(spark, d, "mix_targets"))
+    return mixing.broken_promises(Workspace(spark, "mix").cut(mixed, "mix"), shares, mixing.finish_line(shares, None)[0])
+
+
 def p8_stats(spark, d):
     return quality.text_quality(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
@@ -76,7 +82,7 @@ def p8_found(spark, d):
     return quality.text_kinds(docs).where("kind in ('list', 'table', 'junk')")
 
 
-QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_counts": p5_counts, "p5_words": p5_words, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_counts": p5_counts, "p5_words": p5_words, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_stats": p8_stats}
 
 _TERMS = r"""
 WITH t AS (SELECT scan_id, unnest([{'field': 'rule_id', 'v': rule_id}, {'field': 'severity', 'v': severity}, {'field': 'category', 'v': category}], recursive := true) FROM findings),
@@ -87,6 +93,7 @@ m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.5 * (SELECT c
 ORACLES = {
     "p5_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p5_counts": _TERMS + "SELECT field, term, occurrences, records, mark FROM m",
+    "p7_checks": "SELECT unnest(['repeats', 'uses', 'order', 'share']) AS promise, 0::BIGINT AS n",
     "p5_words": r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(replace(text, 'İ', 'i̇')), '[\p{L}\p{M}\p{N}_]+')) AS term FROM documents)
 SELECT 'text' AS field, term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM w GROUP BY term""",

@@ -60,3 +60,26 @@ def test_empty(spark):
 def test_sizes_leave_out_empty_texts_and_unknown_sources(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "Hello", " A-b "), (4, "Hello", None), (5, "  ", "a")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.source, r.n_tokens) for r in mixing.sized_documents(docs).collect()} == {(3, "a_b", 1), (5, "a", 2)}
+
+
+def test_blocks_of_buckets_and_broken_promises(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 5)
+    monkeypatch.setattr(mixing, "BUCKETS_PER_BLOCK", 3)
+    targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 4)], TARGETS)
+    sized = spark.createDataFrame([(i, "a" if i % 3 else "b", 1 + i % 5) for i in range(400)], SIZED)
+    mixed, shares, _ = mixing.mix(sized, targets, sized=sized)
+    check(mixed.collect(), [("a", 0, 1), ("b", 0, 4)])
+    line = mixing.finish_line(shares, None)[0]
+    assert {(r.promise, r.n) for r in mixing.broken_promises(mixed, shares, line).collect()} == {("repeats", 0), ("uses", 0), ("order", 0), ("share", 0)}
+    bad = mixed.unionByName(mixed.limit(1)).where("not (source = 'a' and total_tokens > 100)")
+    assert {r.promise for r in mixing.broken_promises(bad, shares, line).where("n > 0").collect()} >= {"uses", "order", "share"}
+
+
+def test_budget_is_met_between_supplies(spark):
+    """Water level against a plain search over the sources in order of running out."""
+    rows = [("a", 0.5, 100), ("b", 0.3, 900), ("c", 0.2, 50), ("d", 0.0, 70), ("e", 0.4, 0)]
+    shares = spark.createDataFrame([(s, w, 1, 1, n, n) for s, w, n in rows], "source string, weight double, repeats int, documents long, tokens long, supply long")
+    for budget in (10, 120, 200, 400, 1000, 1050, 5000):
+        line, _ = mixing.finish_line(shares, budget)
+        given = sum(min(line * w, n) for _, w, n in rows if w and n)
+        assert given == pytest.approx(min(budget, 1050))
