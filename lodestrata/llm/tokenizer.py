@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 #: Where the vocabulary files lie, on every machine.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
-#: Distinct pieces whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 500_000
+#: Distinct pieces whose ids a worker remembers, and the most characters of one; beyond that the memory starts afresh.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 128
 
 
 @functools.lru_cache(maxsize=2)
@@ -101,7 +101,8 @@ class PrefixEncoder:
             data = piece.encode()
             one = self.ranks.get(data)
             ids = [one] if one is not None and self._merged(data) == [data] else PrefixTable(self, data).ids()
-            self._known[piece] = ids
+            if len(piece) <= LONGEST_REMEMBERED:
+                self._known[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
