@@ -16,6 +16,7 @@ from pyspark.sql.types import BooleanType
 from lodestrata.functions.markers import disjoint
 from lodestrata.functions.text import key
 from lodestrata.operators.joins import lookup
+from lodestrata.operators.stored import positions
 from lodestrata.storage import Workspace
 
 
@@ -150,23 +151,9 @@ def include_contexts(files: DataFrame, edges: DataFrame, most_depth: int = 64) -
 
 
 def ranked(occurrences: DataFrame, by: str) -> DataFrame:
-    """name_version_rank: 0-based position by (name, version missing, version, id) within each snapshot.
-
-    A window over a snapshot that holds most rows would sort in one task. Rows are range-sorted over
-    (snapshot, order) instead and written with their partition; each partition numbers its own rows,
-    and the counts of the partitions before (a row per partition and snapshot) are added. A name
-    that fills a third of all rows is many ranges.
-    """
+    """name_version_rank: 0-based position by (name, version missing, version, id) within each snapshot."""
     order = [F.coalesce("name", F.lit("")), F.col("selected_version").isNull(), F.coalesce("selected_version", F.lit("")), F.col("id")]
-    keys = [f"_o{i}" for i in range(len(order))]
-    keyed = occurrences.select(by, "id", *[c.alias(k) for c, k in zip(order, keys)])
-    work = Workspace(occurrences.sparkSession, "ranked")
-    laid = work.cut(keyed.repartitionByRange(by, *keys).withColumn("_part", F.spark_partition_id()), "laid")
-    counts = laid.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    starts = counts.select(by, "_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    inner = F.row_number().over(W.partitionBy(by, "_part").orderBy(*keys))
-    return laid.withColumn("_i", inner).join(starts, [by, "_part"]).select(by, "id", (F.col("_start") + F.col("_i") - 1).alias("name_version_rank"))
+    return positions(occurrences, [by], order, ["id"], "name_version_rank")
 
 
 def facets(occurrences: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -269,6 +256,27 @@ def overlaps(rows: DataFrame, name: str, variant: str, low: str, high: str) -> D
     return out.where(F.col(low) <= F.col(f"_end.{high}")).select(name, F.col(f"_end.{variant}").alias("first"), F.col(variant).alias("second"))
 
 
+def variant_overlaps(packages: DataFrame) -> DataFrame:
+    """(path, name, first, second) of the packages of one lock that may hold at once: same name, scopes and extras, markers not disjoint.
+
+    `packages`: (path, name, scopes, extras, marker, locator). Packages are first reduced to distinct markers per key, and only
+    those are met: what shares a marker is named by its first and last locator, so copies make no pairs.
+    """
+
+    @F.pandas_udf(BooleanType())
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([disjoint(x, y) for x, y in zip(a, b)], dtype=object)
+
+    key = ["path", "name", "scopes", "extras"]
+    plain = packages.select("path", "name", *[F.coalesce(F.array_sort(c), F.array().cast("array<string>")).alias(c) for c in ("scopes", "extras")], F.coalesce("marker", F.lit("")).alias("marker"), "locator")
+    distinct = plain.groupBy(*key, "marker").agg(F.min("locator").alias("first"), F.max("locator").alias("last"))
+    distinct = Workspace(packages.sparkSession, "variants").cut(distinct, "variants")
+    within = distinct.where(F.col("first") < F.col("last")).select("path", "name", "first", F.col("last").alias("second"))
+    other = distinct.select(*key, F.col("marker").alias("_marker"), F.col("first").alias("second"))
+    met = distinct.select(*key, "marker", "first").join(other, key).where((F.col("marker") < F.col("_marker")) & ~apart(F.nullif("marker", F.lit("")), F.nullif("_marker", F.lit(""))))
+    return met.select("path", "name", F.least("first", "second").alias("first"), F.greatest("first", "second").alias("second")).unionByName(within)
+
+
 def row_digest(rows: DataFrame, keys: Sequence[str], values: Sequence[str], by: str) -> DataFrame:
     """(by, n, digest) of keyed rows: independent of their order and of how they are spread.
 

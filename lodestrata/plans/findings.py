@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, paths, vocab
 from lodestrata.functions.text import key
-from lodestrata.operators import findings as op
+from lodestrata.operators import findings as op, stored
 from lodestrata.operators.snapshots import scan_order
 from lodestrata.storage import table
 
@@ -236,7 +236,42 @@ def scan_trend(spark, d):
     return op.scan_to_scan(scans.join(counts, "scan_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))).select("project", "scan_id", "n", "change")
 
 
+def stored_order(spark, d):
+    return stored.stored_order(_clean(spark, d))
+
+
+def newest_scans(spark, d):
+    one = table(spark, d, "scan_records").select("scan_id", key("project").alias("project"), "scan_timestamp").where("scan_id is not null and project is not null").distinct()
+    return stored.newest_first(one)
+
+
+def otel_attributes(spark, d):
+    return stored.otel_attributes(_current(spark, d)).select("finding_id", F.explode("attributes").alias("attribute", "value"))
+
+
+def issue_summaries(spark, d):
+    f = _current(spark, d).withColumn("message", F.get_json_object("payload", "$.message"))
+    return f.select("scan_id", "finding_id", stored.issue_summary(F.col("severity"), F.col("message"), F.col("file")).alias("summary"))
+
+
+def finding_sizes(spark, d):
+    body = F.to_json(F.struct("rule_id", "file", "line", F.lit("stored").alias("scanner"), "severity"))
+    return _current(spark, d).select("scan_id", "finding_id", stored.finding_size(body).alias("size"))
+
+
+def aged_findings(spark, d):
+    f = _current(spark, d).withColumn("age_days", F.get_json_object("payload", "$.age_days").cast("int"))
+    return stored.aged(f).select("scan_id", "finding_id", "age_days")
+
+
+def input_ordinals(spark, d):
+    """Position of every evidence file in the order of paths."""
+    p = table(spark, d, "relationships").select(F.col("source.path").alias("path")).where("path is not null").distinct()
+    return stored.positions(p.withColumn("of", F.lit("inputs")), ["of"], [F.col("path")], ["path"], "ordinal").select("path", "ordinal")
+
+
 QUERIES = {
+    "stored_order": stored_order, "newest_scans": newest_scans, "otel_attributes": otel_attributes, "issue_summaries": issue_summaries, "finding_sizes": finding_sizes, "aged_findings": aged_findings, "input_ordinals": input_ordinals,
     "normalize_path_id": normalize_path_id, "category_vocab": category_vocab, "severity_vocab": severity_vocab, "severity_rank_filter": severity_rank_filter,
     "severity_sorted_top5": severity_sorted_top5, "suppress_first_match": suppress_first_match, "track_trend": track_trend, "resolved_findings": resolved_findings,
     "scan_record_counts": scan_record_counts, "baseline_new": baseline_new, "policy_violations": policy_violations, "gate_snapshot_dense": gate_snapshot_dense,
@@ -293,7 +328,15 @@ def _class_sql():
     return "CASE " + " ".join(out) + " ELSE 'production' END"
 
 
+_ATTRIBUTES = {"finding.scan_id": "scan_id", "finding.finding_id": "finding_id", "finding.rule_id": "rule_id", "finding.severity": "severity", "finding.category": "category", "code.filepath": "file", "code.lineno": "line::VARCHAR"}
 ORACLES = {
+    "stored_order": BASE + "SELECT scan_id, finding_id, row_number() OVER (PARTITION BY scan_id ORDER BY file, line, finding_id) - 1 AS position FROM c",
+    "newest_scans": BASE + "SELECT project, scan_id, row_number() OVER (PARTITION BY project ORDER BY taken DESC NULLS LAST, scan_id) - 1 AS position FROM s WHERE project <> '' AND scan_id IS NOT NULL",
+    "otel_attributes": BASE + ", a AS (" + " UNION ALL ".join(f"SELECT finding_id, '{k}' AS attribute, {v} AS value FROM cur" for k, v in _ATTRIBUTES.items()) + ") SELECT * FROM a WHERE value <> ''",
+    "issue_summaries": BASE + "SELECT scan_id, finding_id, '[' || upper(coalesce(nullif(severity, ''), 'unknown')) || '] ' || coalesce(payload->>'$.message', 'Security Finding') || CASE WHEN file <> '' THEN ' — ' || file ELSE '' END AS summary FROM cur",
+    "finding_sizes": BASE + """SELECT scan_id, finding_id, CASE WHEN rule_id <> '' AND file <> '' AND line >= 1 THEN strlen('{"file":' || to_json(file) || ',"line":' || line || ',"rule_id":' || to_json(rule_id) || ',"scanner":"stored","severity":' || to_json(severity) || '}') END AS size FROM cur""",
+    "aged_findings": BASE + "SELECT scan_id, finding_id, try_cast(payload->>'$.age_days' AS INT) AS age_days FROM cur WHERE try_cast(payload->>'$.age_days' AS INT) > 30",
+    "input_ordinals": "SELECT path, row_number() OVER (ORDER BY path) - 1 AS ordinal FROM (SELECT DISTINCT source.path AS path FROM relationships) WHERE path IS NOT NULL",
     "normalize_path_id": f"""SELECT DISTINCT rule_id, file, line, {_PATH} AS path, sha256(coalesce(rule_id,'') || ':' || {_PATH} || ':' || coalesce(cast(line AS VARCHAR), '0')) AS id FROM findings""",
     "category_vocab": f"""WITH v AS (SELECT DISTINCT category, lower(trim(category, {_T})) AS k FROM findings)
 SELECT category, CASE WHEN coalesce(k,'') IN ({", ".join(map(repr, vocab.STORED_CATEGORIES))}) THEN k ELSE {_case("coalesce(k,'')", vocab.STORED_ALIASES, "'unknown'")} END AS stored,
