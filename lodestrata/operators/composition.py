@@ -217,3 +217,24 @@ def composed(rows: DataFrame) -> Composed:
     losses = losses.unionByName(indirect.select("path", "locator", F.lit("graph").alias("dimension"), F.lit("unassessed-go-indirect-annotation").alias("reason")))
     relationships = resolved.where("parent_locator is not null").select("path", "parent_locator", "child_locator", "scopes", F.lit("evidenced").alias("evidence_status"))
     return Composed(occurrences.unionByName(declared), selectors, relationships, declarations, coverage, losses)
+
+
+# What may become of an input.
+DISPOSITIONS = ["parsed", "unresolved", "unsupported", "failed", "bounded-omission", "ignored", "discovered", "unrecognized"]
+
+
+def summary(c: Composed) -> DataFrame:
+    """(name, n): the nine counts of an inventory and how many inputs came to each disposition, zeros included."""
+    spark = c.coverage.sparkSession
+    inputs = c.coverage.agg(
+        F.count(F.lit(1)).alias("discovered_inputs"), F.count("format").alias("recognized_inputs"),
+        *[F.count_if(F.col("disposition") == d).alias(f"input_dispositions.{d}") for d in DISPOSITIONS],
+    )
+    made = c.occurrences.agg(F.count(F.lit(1)).alias("package_occurrences"), F.count("selected_version").alias("selected_occurrences"))
+    edges = c.relationships.agg(F.count(F.lit(1)).alias("canonical_relationships"), F.count_if(F.col("evidence_status") == "evidenced").alias("evidenced_relationships"))
+    more = [c.declarations.agg(F.count(F.lit(1)).alias("declarations")), c.losses.agg(F.count(F.lit(1)).alias("canonical_projection_losses"))]
+    out = spark.createDataFrame([], "name string, n long")
+    for one in [inputs, made, edges, *more]:
+        pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("n")) for n in one.columns])
+        out = out.unionByName(one.select(F.inline(pairs)))
+    return out

@@ -42,6 +42,33 @@ def positions(rows: DataFrame, by: Sequence[str], order: Sequence[Column], keep:
     return laid.withColumn("_i", inner).join(starts, same).select(*by, *keep, (F.col("_start") + F.col("_i") - 1).alias(name))
 
 
+BLOCK = 1024  # rows, or digests of blocks, under one digest
+
+
+def ordered_digest(rows: DataFrame, by: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
+    """(by, n, digest) of rows in their order: a tree of SHA-256 digests over blocks of `BLOCK` neighbours.
+
+    The rows of a group never meet in one task; a group of one block ends with that block's digest, so a digest depends on
+    its own rows and their order alone.
+    """
+    body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    level = positions(rows.withColumn("_d", F.sha2(body, 256)), by, order, ["_d"], "_at")
+    sizes = level.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    work = Workspace(rows.sparkSession, "digests")
+    while True:
+        inside = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_d"))), lambda x: x["_d"]), "")
+        alone = F.count(F.lit(1)) == 1
+        # a digest that is alone at the top stays; below the top every block is hashed
+        digest = F.when(F.max("_top") & alone, F.max("_d")).otherwise(F.sha2(inside, 256))
+        top = level if "_top" in level.columns else level.withColumn("_top", F.lit(False))
+        level = top.groupBy(*by, F.floor(F.col("_at") / BLOCK).alias("_at")).agg(digest.alias("_d")).withColumn("_top", F.lit(True))
+        level = work.cut(level, "level")
+        if level.where("_at > 0").isEmpty():
+            a, b = level.select(*by, F.col("_d").alias("digest")), sizes
+            on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+            return a.alias("a").join(b.alias("b"), on).select(*[f"a.{k}" for k in by], "n", "digest")
+
+
 def stored_order(findings: DataFrame) -> DataFrame:
     """(scan_id, finding_id, position) of the findings of each scan by file and line."""
     return positions(findings, ["scan_id"], [F.col("file"), F.col("line"), F.col("finding_id")], ["finding_id"])

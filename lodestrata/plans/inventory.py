@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, licenses, versions
 from lodestrata.functions.text import key
-from lodestrata.operators import composition, inventory as op, resolution
+from lodestrata.operators import composition, inventory as op, resolution, stored
 from lodestrata.sources import config, packages
 from lodestrata.operators.joins import lookup
 from lodestrata.storage import Workspace, table
@@ -200,6 +200,16 @@ def composed_coverage(spark, d):
     return _composed(spark, d).coverage.select("path", "format", "disposition", "unresolved", "fidelity")
 
 
+def composed_summary(spark, d):
+    return composition.summary(_composed(spark, d))
+
+
+def ordered_digests(spark, d):
+    """Digest of the packages of every root in the order of their ids."""
+    o = _occurrences(spark, d).withColumn("snapshot", F.coalesce("root_id", F.lit("")))
+    return stored.ordered_digest(o, ["snapshot"], [F.col("id")], ["id", "ecosystem", "name", "selected_version"])
+
+
 def config_problems(spark, d):
     """What is wrong with the policy rules as they were typed."""
     rules = table(spark, d, "policy_rules").select(F.col("rule_no").alias("ord"), "severity", "category", F.col("max_count").cast("string").alias("max_count"), "action")
@@ -211,7 +221,7 @@ QUERIES = {
     for f in (
         occurrences_latest, relationships_latest, nuget_range, range_checks, unique_match_resolution, reachability, adjacency, name_version_rank, occurrence_facets, license_state,
         license_gaps, license_policy, license_classes, export_components, export_dependencies, export_cyclonedx, integrity_violations, inventory_summary, unique_declared_range,
-        row_digests, purl_check, projected_rows, selected_versions, config_problems, composed_selectors, composed_occurrences, composed_coverage,
+        row_digests, purl_check, projected_rows, selected_versions, config_problems, composed_selectors, composed_occurrences, composed_coverage, composed_summary, ordered_digests,
     )
 }
 
@@ -299,3 +309,12 @@ UNION ALL SELECT path, eco, cn, cv, NULL, CASE WHEN eco = 'nuget' OR (eco = 'npm
 ORACLES["composed_coverage"] = _LOCKS + """, un AS (SELECT path, count(*) AS missed FROM sel WHERE disposition = 'unresolved' GROUP BY 1)
 SELECT path, CASE eco WHEN 'npm' THEN 'npm-lock' WHEN 'cargo' THEN 'cargo-lock' WHEN 'pypi' THEN 'python-poetry-lock' ELSE 'nuget-lock' END AS format, CASE WHEN broken THEN 'failed' ELSE 'parsed' END AS disposition, coalesce(missed, 0) AS unresolved,
   CASE WHEN broken THEN 'failed' WHEN coalesce(missed, 0) = 0 THEN 'complete' ELSE 'partial' END AS fidelity FROM c LEFT JOIN un USING (path)"""
+ORACLES["composed_summary"] = _LOCKS + """, d AS (SELECT CASE WHEN broken THEN 'failed' ELSE 'parsed' END AS disposition FROM c),
+oc2 AS (SELECT path FROM c WHERE NOT broken AND pgood UNION ALL SELECT path FROM c WHERE NOT broken AND good)
+SELECT 'input_dispositions.' || x AS name, (SELECT count(*) FROM d WHERE disposition = x) AS n FROM (SELECT unnest(""" + repr(composition.DISPOSITIONS) + """) AS x)
+UNION ALL SELECT unnest(['discovered_inputs', 'recognized_inputs']), (SELECT count(*) FROM c) UNION ALL SELECT unnest(['package_occurrences', 'selected_occurrences']), (SELECT count(*) FROM oc2)
+UNION ALL SELECT unnest(['canonical_relationships', 'evidenced_relationships']), (SELECT count(*) FROM c WHERE yes AND pgood AND NOT broken) UNION ALL SELECT unnest(['declarations', 'canonical_projection_losses']), 0"""
+ORACLES["ordered_digests"] = BASE + """, r AS (SELECT coalesce(root_id, '') AS snapshot, id, sha256(cast(to_json({'id': id, 'ecosystem': ecosystem, 'name': name, 'selected_version': selected_version}) AS VARCHAR)) AS d FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY id) - 1 AS pos FROM r), a AS (SELECT snapshot, pos // 1024 AS blk, sha256(string_agg(d, '' ORDER BY pos)) AS d FROM p GROUP BY snapshot, pos // 1024),
+b AS (SELECT snapshot, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY blk)) END AS digest FROM a GROUP BY 1)
+SELECT snapshot, n, digest FROM b JOIN (SELECT snapshot, count(*) AS n FROM r GROUP BY 1) USING (snapshot)"""

@@ -83,9 +83,58 @@ def tracking_state(spark, d):
     return out.select("key", stamp("first_seen"), stamp("last_seen"), "n")
 
 
+# The levels that the made reports give to our severities.
+LEVELS = {"critical": "ERROR", "high": "WARNING"}
+
+
+def _report(spark, d, *members):
+    """(path, body): one scanner report of every finding of the last scans."""
+    f = _with_message(spark, d).withColumn("level", vocab.lookup(F.col("severity"), LEVELS, "INFO"))
+    return f.select(F.concat_ws("/", "scan_id", "finding_id").alias("path"), F.to_json(F.struct(*members)).alias("body"))
+
+
+def _read(reader, reports, scanner):
+    columns = ["path", "type", "rule_id", "cve_id", "title", "description", "file", "line", "severity", "category"]
+    fixes = scanners.remediation(reports, scanner).select("path", "ord", "fix_type", "fix_complexity", "effort_mins", "affected_symbol")
+    return reader(reports).join(fixes, ["path", "ord"], "left").select(*columns, "fix_type", "fix_complexity", "effort_mins", "affected_symbol")
+
+
+def read_gitleaks(spark, d):
+    one = F.struct(F.nullif("rule_id", F.lit("")).alias("RuleID"), F.col("file").alias("File"), F.col("line").alias("StartLine"))
+    return _read(scanners.gitleaks, _report(spark, d, one.alias("x")).withColumn("body", F.regexp_replace("body", r'^\{"x":(.*)\}$', "[$1]")), "gitleaks")
+
+
+def read_semgrep(spark, d):
+    """Findings of high severity carry a weakness id; those of the category sast a fix."""
+    cwe = F.when(F.col("severity").isin("critical", "high"), F.array(F.lit("CWE-1"))).alias("cwe")
+    extra = F.struct(F.col("message"), F.col("level").alias("severity"), F.when(F.col("category") == "sast", F.lit("x")).alias("fix"), F.struct("category", cwe).alias("metadata"))
+    one = F.struct(F.col("rule_id").alias("check_id"), F.col("file").alias("path"), F.struct("line").alias("start"), extra.alias("extra"))
+    return _read(scanners.semgrep, _report(spark, d, F.array(one).alias("results")), "semgrep")
+
+
+def read_kics(spark, d):
+    one = F.struct(F.col("message").alias("query_name"), F.upper("severity").alias("severity"), F.col("category").alias("description"), F.array(F.struct(F.col("file").alias("file_name"), "line")).alias("files"))
+    return _read(scanners.kics, _report(spark, d, F.array(one).alias("queries")), "kics")
+
+
+def read_grype(spark, d):
+    """Findings of an even line have a fix, those of a line that three divides never will."""
+    state = F.when(F.col("line") % 2 == 0, "fixed").when(F.col("line") % 3 == 0, "wont-fix")
+    fix = F.struct(state.alias("state"), F.when(F.col("line") % 2 == 0, F.array(F.lit("2.0"))).otherwise(F.array().cast("array<string>")).alias("versions"))
+    vulnerability = F.struct(F.concat(F.lit("ADV-"), F.col("line")).alias("id"), "severity", F.col("message").alias("description"), fix.alias("fix"))
+    artifact = F.struct(F.col("rule_id").alias("name"), F.lit("1.0").alias("version"), F.array(F.struct(F.nullif("file", F.lit("")).alias("path"))).alias("locations"))
+    return _read(scanners.grype, _report(spark, d, F.array(F.struct(vulnerability.alias("vulnerability"), artifact.alias("artifact"))).alias("matches")), "grype")
+
+
+def read_compliance(spark, d):
+    """Stored findings as issues without a category."""
+    one = F.struct(F.col("message").alias("title"), "severity", F.col("category").alias("type"), "file")
+    return scanners.compliance_findings(_report(spark, d, F.array(one).alias("issues"))).select("path", "title", "severity", "category", "file")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (sarif_rules_first_wins, sarif_results, vulnerability_report, raw_sarif_findings, upserted_records, detect_texts, fixed_versions, redacted_matches, event_windows, tracking_state)
+    for f in (sarif_rules_first_wins, sarif_results, vulnerability_report, raw_sarif_findings, upserted_records, detect_texts, fixed_versions, redacted_matches, event_windows, tracking_state, read_gitleaks, read_semgrep, read_kics, read_grype, read_compliance)
 }
 ORACLES = {
     "sarif_rules_first_wins": base.BASE + "SELECT rule_id, severity, payload->>'$.message' AS message FROM cur QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ingested_at, scan_id, finding_id) = 1",
@@ -106,3 +155,21 @@ SELECT id, declared_range, version FROM v WHERE version IS NOT NULL""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "tracking_state": "SELECT cast(user_id AS VARCHAR) AS key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1",
 }
+
+_RAW = base.BASE + f""", f AS (SELECT scan_id || '/' || finding_id AS path, rule_id, file, line, severity, category, payload->>'$.message' AS message, {base._case("severity", LEVELS, "'INFO'")} AS level FROM cur)
+"""
+_SOME = lambda c, words: f"len(list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains({c}, w))) > 0"
+_FIX = lambda kind, level, effort, symbol: f"{kind} AS fix_type, {level} AS fix_complexity, {effort} AS effort_mins, {symbol} AS affected_symbol"
+ORACLES |= {
+    "read_gitleaks": _RAW + f"""SELECT path, 'Secrets' AS type, coalesce(nullif(rule_id, ''), 'exposed-secret') AS rule_id, NULL::VARCHAR AS cve_id, 'Exposed ' || coalesce(nullif(rule_id, ''), 'exposed-secret') AS title, 'Potential secret found; detected value redacted.' AS description,
+file, line, 'critical' AS severity, 'hardcoded-secret' AS category, {_FIX("'code_change'", "'moderate'", 30, "coalesce(nullif(rule_id, ''), 'secret')")} FROM f""",
+    "read_semgrep": _RAW + f""", g AS (SELECT *, severity IN ('critical', 'high') AS cwe, contains(category, 'owasp') OR contains(category, 'security') AS marked, {_SOME("lower(rule_id)", scanners.QUALITY_IDS)} OR {_SOME("category", scanners.QUALITY_CATEGORIES)} AS q, {_SOME("lower(coalesce(message, ''))", scanners.SECURITY_WORDS)} AS said FROM f)
+SELECT path, 'SAST' AS type, rule_id, NULL::VARCHAR AS cve_id, rule_id AS title, coalesce(message, '') AS description, file, line, CASE WHEN level = 'ERROR' THEN 'high' ELSE 'medium' END AS severity, 'sast' AS category,
+{_FIX("'code_change'", "CASE WHEN category = 'sast' THEN 'trivial' ELSE 'moderate' END", "CASE WHEN category = 'sast' THEN 5 ELSE 30 END", "nullif(regexp_extract(rule_id, '[^.]*$'), '')")} FROM g WHERE NOT q AND (cwe OR marked OR said) AND (level <> 'INFO' OR cwe OR marked)""",
+    "read_kics": _RAW + f"""SELECT path, 'Infrastructure as Code' AS type, coalesce(message, '') AS rule_id, NULL::VARCHAR AS cve_id, coalesce(message, '') AS title, category AS description, coalesce(nullif(file, ''), 'unknown') AS file, line,
+{base._case("upper(severity)", vocab.SEVERITY_MAPS["kics"], "'medium'")} AS severity, 'iac' AS category, {_FIX("'config'", "'trivial'", 10, "nullif(message, '')")} FROM f
+WHERE NOT ({_SOME("lower(coalesce(message, ''))", scanners.QUALITY_MARKS)} OR {_SOME("lower(category)", scanners.QUALITY_MARKS)}) AND upper(severity) <> 'INFO'""",
+    "read_grype": _RAW + f"""SELECT path, 'Dependency' AS type, 'ADV-' || line AS rule_id, 'ADV-' || line AS cve_id, rule_id || ' - ADV-' || line AS title, coalesce(message, 'Known vulnerability in dependency') AS description, coalesce(nullif(file, ''), 'dependency: ' || rule_id) AS file, 1 AS line, severity, 'dependency' AS category,
+{_FIX("CASE WHEN line % 2 <> 0 AND line % 3 = 0 THEN 'suppress' ELSE 'upgrade' END", "CASE WHEN line % 2 = 0 THEN 'trivial' WHEN line % 3 = 0 THEN 'moderate' ELSE 'complex' END", "CASE WHEN line % 2 = 0 THEN 5 WHEN line % 3 = 0 THEN 15 ELSE 60 END", "nullif(rule_id, '')")} FROM f""",
+    "read_compliance": _RAW + "SELECT path, message AS title, severity, category, file FROM f",
+}

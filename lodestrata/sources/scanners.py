@@ -140,6 +140,79 @@ def grype(reports: DataFrame, image: bool = False) -> DataFrame:
                file=F.concat(F.lit("image: "), name) if image else F.coalesce(first, F.concat(F.lit("dependency: "), name)), category=F.lit("container_scanning" if image else "dependency"))
 
 
+# What is to be done about an exposed secret.
+SECRET_STEPS = ["rotate the exposed secret immediately", "remove the secret from the working tree and rewrite history", "store the new secret in a secrets manager"]
+
+
+def remediation(reports: DataFrame, scanner: str) -> DataFrame:
+    """(path, ord, fix_type, fix_complexity, effort_mins, affected_symbol, context) of the entries of a scanner's reports.
+
+    `ord` is that of the scanner's reader; entries that the reader leaves out are here too. `context` is a map of JSON
+    texts without null and empty members, null if none is left.
+    """
+    v, e, lit = F.col("v"), F.col("e"), F.lit
+    given = lambda x: F.nullif(text(x), lit(""))
+    js = lambda x: F.to_json(x)
+    filled = lambda x: F.when(~F.coalesce(js(x), lit("null")).isin("null", '""', "[]", "{}", "false", "0"), js(x))
+    if scanner == "gitleaks":
+        df = _each(reports, listed(v))
+        symbol = F.coalesce(given(member(e, "RuleID")), lit("secret"))
+        kind, level, effort = lit("code_change"), lit("moderate"), lit(30)
+        context = {"secret_kind": F.to_json(F.array(symbol)).substr(lit(2), F.length(F.to_json(F.array(symbol))) - 2), "remediation_steps": F.to_json(F.array(*map(lit, SECRET_STEPS)))}
+    elif scanner == "semgrep":
+        df = _each(reports, listed(member(v, "results")))
+        extra = member(e, "extra")
+        meta, fix = member(extra, "metadata"), filled(member(extra, "fix"))
+        symbol = F.nullif(F.substring_index(text(member(e, "check_id")), ".", -1), lit(""))
+        kind, level, effort = lit("code_change"), F.when(fix.isNotNull(), "trivial").otherwise("moderate"), F.when(fix.isNotNull(), 5).otherwise(30)
+        context = {c: filled(member(meta, c)) for c in ("cwe", "owasp", "references")} | {"autofix": fix}
+    elif scanner == "kics":
+        df = _each(reports, listed(member(v, "queries")))
+        files = as_list_of(member(e, "files"))
+        entries = F.when(F.size(files) > 0, files).otherwise(F.coalesce(as_list_of(member(e, "results")), F.array().cast("array<variant>")))
+        df = df.select("path", (F.col("ord") * lit(1_000_000)).alias("_q"), "e", F.posexplode(entries).alias("_i", "r")).withColumn("ord", F.col("_q") + F.col("_i"))
+        symbol = F.coalesce(given(member(e, "query_name")), given(member(e, "queryName")))
+        kind, level, effort = lit("config"), lit("trivial"), lit(10)
+        said = lambda x: F.when(~F.coalesce(F.is_variant_null(x), lit(True)), js(x))
+        context = {c: said(member(F.col("r"), c)) for c in ("expected_value", "actual_value")} | {c: filled(member(e, c)) for c in ("category", "platform")}
+    else:
+        df = _each(reports, listed(member(v, "matches")))
+        artifact, fix = member(e, "artifact"), member(member(e, "vulnerability"), "fix")
+        state, fixes = text(member(fix, "state")), filled(member(fix, "versions"))
+        symbol = given(member(artifact, "name"))
+        mended, left = F.coalesce((state == "fixed") & fixes.isNotNull(), lit(False)), F.coalesce(state == "wont-fix", lit(False))
+        kind = F.when(~mended & left, "suppress").otherwise("upgrade")
+        level = F.when(mended, "trivial").when(left, "moderate").otherwise("complex")
+        effort = F.when(mended, 5).when(left, 15).otherwise(60)
+        context = {"package": filled(member(artifact, "name")), "current_version": filled(member(artifact, "version")), "fix_versions": fixes, "fix_state": filled(member(fix, "state")), "cvss": filled(member(member(e, "vulnerability"), "cvss"))}
+    pairs = F.map_filter(F.create_map(*[x for k, c in context.items() for x in (lit(k), c)]), lambda _, x: x.isNotNull())
+    return df.select("path", "ord", kind.alias("fix_type"), level.alias("fix_complexity"), effort.alias("effort_mins"), symbol.alias("affected_symbol"), F.when(F.size(pairs) > 0, pairs).alias("context"))
+
+
+def compliance_findings(reports: DataFrame) -> DataFrame:
+    """(path, ord, title, description, severity, category, file) as a compliance report reads stored findings.
+
+    `issues` as they stand, a missing category taken from the type; else `vulnerabilities` by their names, severity in lower
+    case and medium if missing, other texts empty; else a list as it stands.
+    """
+    v, e = F.col("v"), F.col("e")
+    issues, found = member(v, "issues"), member(v, "vulnerabilities")
+    none = F.array().cast("array<variant>")
+    shape = F.when(issues.isNotNull(), "issues").when(found.isNotNull(), "vulnerabilities").otherwise("list")
+    entries = F.when(shape == "issues", listed(issues)).when(shape == "vulnerabilities", listed(found)).otherwise(F.coalesce(as_list_of(v), none))
+    df = _parsed(reports).select("path", shape.alias("_shape"), F.posexplode(entries).alias("ord", "e"))
+    get, flat = lambda c: text(member(e, c)), F.col("_shape") != "vulnerabilities"
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    kind = F.when((F.col("_shape") == "issues") & member(e, "category").isNull(), get("type")).otherwise(get("category"))
+    return df.select(
+        "path", "ord", F.when(flat, get("title")).otherwise(F.coalesce(get("name"), get("title"), F.lit(""))).alias("title"),
+        F.when(flat, get("description")).otherwise(empty(get("description"))).alias("description"),
+        F.when(flat, get("severity")).otherwise(F.lower(F.coalesce(get("severity"), F.lit("medium")))).alias("severity"),
+        F.when(flat, kind).otherwise(empty(get("category"))).alias("category"),
+        F.when(flat, get("file")).otherwise(empty(text(member(member(e, "location"), "file")))).alias("file"),
+    )
+
+
 def fixable(reports: DataFrame) -> DataFrame:
     """(path, package, current_version, fixed_version, cve_id, severity, cvss_score, data_source) of matches that have a fix."""
     df, m = _each(reports, listed(member(F.col("v"), "matches"))), F.col("e")

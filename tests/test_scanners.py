@@ -119,3 +119,24 @@ def test_quality_marks_are_both_lists_whole(spark):
     body = json.dumps({"queries": [named("Liveness Probe Is Not Defined"), named("Service Runs As Root"), named("Terraform  Output Tag"), named("Open Port")]})
     got = sc.kics(spark.createDataFrame([("r", body)], "path string, body string")).collect()
     assert [r.rule_id for r in got] == ["Terraform  Output Tag", "Open Port"]
+
+
+def test_remediation_and_compliance_shapes(spark):
+    from lodestrata.sources import scanners as sc
+
+    frame = lambda *bodies: spark.createDataFrame([(str(i), json.dumps(b)) for i, b in enumerate(bodies)], "path string, body string")
+    r = sc.remediation(frame([{"RuleID": "k"}, {}]), "gitleaks").orderBy("ord").collect()
+    assert [(x.fix_type, x.fix_complexity, x.effort_mins, x.affected_symbol) for x in r] == [("code_change", "moderate", 30, "k"), ("code_change", "moderate", 30, "secret")]
+    assert json.loads(r[0].context["remediation_steps"]) == sc.SECRET_STEPS and r[0].context["secret_kind"] == '"k"'
+    r = sc.remediation(frame({"results": [{"check_id": "a.b.c", "extra": {"fix": "f", "metadata": {"cwe": ["1"], "owasp": [], "references": ""}}}, {"check_id": "x"}]}), "semgrep").orderBy("ord").collect()
+    assert [(x.fix_complexity, x.effort_mins, x.affected_symbol) for x in r] == [("trivial", 5, "c"), ("moderate", 30, "x")]
+    assert set(r[0].context) == {"cwe", "autofix"} and r[1].context is None
+    r = sc.remediation(frame({"queries": [{"query_name": "q", "platform": "p", "files": [{"expected_value": "", "actual_value": None}, {}]}]}), "kics").orderBy("ord").collect()
+    assert [(x.ord, x.effort_mins, x.affected_symbol, x.context) for x in r] == [(0, 10, "q", {"expected_value": '""', "platform": '"p"'}), (1, 10, "q", {"platform": '"p"'})]
+    match = lambda **fix: {"vulnerability": {"fix": fix}, "artifact": {"name": "n", "version": "1"}}
+    r = sc.remediation(frame({"matches": [match(state="fixed", versions=["2"]), match(state="wont-fix", versions=["2"]), match(state="fixed", versions=[]), {}]}), "grype").orderBy("ord").collect()
+    assert [(x.fix_type, x.fix_complexity, x.effort_mins, x.affected_symbol) for x in r] == [("upgrade", "trivial", 5, "n"), ("suppress", "moderate", 15, "n"), ("upgrade", "complex", 60, "n"), ("upgrade", "complex", 60, None)]
+    assert r[0].context["fix_versions"] == '["2"]' and r[3].context is None
+    got = sc.compliance_findings(frame({"issues": [{"title": "t", "type": "sast"}, {"category": "c", "type": "s"}]}, {"vulnerabilities": [{"name": "v", "severity": "HIGH", "location": {"file": "f"}}, {"title": "w"}]}, [{"severity": "Low", "type": "s"}], {"other": 1}))
+    rows = [(r.path, r.title, r.severity, r.category, r.file) for r in got.orderBy("path", "ord").collect()]
+    assert rows == [("0", "t", None, "sast", None), ("0", None, None, "c", None), ("1", "v", "high", "", "f"), ("1", "w", "medium", "", ""), ("2", None, "Low", None, None)]

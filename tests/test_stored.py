@@ -57,3 +57,24 @@ def test_variant_overlaps(spark):
     rows = [("l", "a", ["r"], [], "python_version < '3'", "/0"), ("l", "a", ["r"], [], "python_version >= '3'", "/1"), ("l", "a", ["r"], None, "os_name == 'nt'", "/2"), ("l", "b", [], [], None, "/3"), ("l", "b", [], [], None, "/4"), ("l", "b", ["x"], [], None, "/5"), ("m", "b", [], [], None, "/3")]
     df = spark.createDataFrame(rows, "path string, name string, scopes array<string>, extras array<string>, marker string, locator string")
     assert sorted((r.name, r.first, r.second) for r in inventory.variant_overlaps(df).collect()) == [("a", "/0", "/2"), ("a", "/1", "/2"), ("b", "/3", "/4")]
+
+
+def test_ordered_digest_is_a_tree_over_the_order(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(stored, "BLOCK", 3)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [("big", i) for i in range(29)] + [("small", 1), ("small", 0), (None, 7)]
+    df = spark.createDataFrame(rows, "g string, o int")
+    got = {r.g: (r.n, r.digest) for r in stored.ordered_digest(df, ["g"], [F.col("o")], ["o"]).collect()}
+    for g in ("big", "small", None):
+        level = [sha(f'{{"o":{o}}}') for o in sorted(o for x, o in rows if x == g)]
+        n, first = len(level), True
+        while first or len(level) > 1:
+            cut = [level[i : i + 3] for i in range(0, len(level), 3)]
+            level = [c[0] if len(c) == 1 and not first else sha("".join(c)) for c in cut]
+            first = False
+        assert got[g] == (n, level[0])
+    other = stored.ordered_digest(df, ["g"], [-F.col("o")], ["o"]).where("g = 'big'").first()
+    assert other.digest != got["big"][1]
+    assert stored.ordered_digest(df.limit(0), ["g"], [F.col("o")], ["o"]).count() == 0
