@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 #: Where the vocabulary files lie, on every machine.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
-#: Distinct pieces whose ids a worker remembers, and the most characters of one; beyond that the memory starts afresh.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 128
+#: Characters of distinct pieces whose ids a worker remembers; beyond it the memory starts afresh.
+REMEMBERED = 4_000_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -78,6 +78,7 @@ class PrefixEncoder:
         self.pieces = regex.compile(pattern)
         self.follows = functools.lru_cache(maxsize=1_000_000)(self._follows)
         self._known: dict[str, list[int]] = {}
+        self._held = 0
 
     def _merged(self, data: bytes) -> list[bytes]:
         """The merges of a short text, lowest rank first, leftmost of equals."""
@@ -96,12 +97,14 @@ class PrefixEncoder:
     def piece(self, piece: str) -> list[int]:
         ids = self._known.get(piece)
         if ids is None:
-            if len(self._known) >= REMEMBERED:
+            self._held += len(piece)
+            if self._held > REMEMBERED:
                 self._known.clear()
+                self._held = len(piece)
             data = piece.encode()
             one = self.ranks.get(data)
             ids = [one] if one is not None and self._merged(data) == [data] else PrefixTable(self, data).ids()
-            if len(piece) <= LONGEST_REMEMBERED:
+            if len(piece) <= REMEMBERED:
                 self._known[piece] = ids
         return ids
 
