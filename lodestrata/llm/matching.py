@@ -243,4 +243,4 @@ def map_to_canonical(rows: DataFrame, canonical_values: DataFrame, words: DataFr
     literal = canonical_values.select("vocabulary", F.col("canonical").alias("value"))
     cases = work.cut(rows.select("field", "record_id", "vocabulary", "value").where(trimmed("value") != "").join(literal, ["vocabulary", "value"], "left_anti"), "cases")
     matched = work.cut(match_values(cases.select("vocabulary", "value").distinct(), canonical_values, words), "matched")
-    return lookup(cases, matched, ["vocabulary", "value"]).select("field", "record_id", "canonical").distinct()
+    return lookup(cases, matched, ["vocabulary", "value"], written=True).select("field", "record_id", "canonical").distinct()

@@ -101,7 +101,7 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
         "source", F.col("weight").alias("_w"), passes.alias("_passes"), F.col("tokens").alias("_pass_tokens"), F.greatest(F.lit(1), F.floor(F.col("documents") / F.lit(ROWS_PER_BUCKET))).alias("_buckets"), "documents"
     )
     n_uses = usable.agg(F.coalesce(F.sum(F.col("documents") * F.col("_passes")), F.lit(0)).alias("n")).first().n
-    uses = lookup(sized, usable.drop("documents"), "source").where("_passes > 0")
+    uses = lookup(sized, usable.drop("documents"), "source", written=True).where("_passes > 0")
     uses = uses.select("*", F.explode(F.sequence(F.lit(1), F.col("_passes"))).alias("use"))
     uses = uses.withColumn("_h", F.xxhash64("doc_id", "use", F.lit(seed)))
     bucket = F.pmod(F.shiftright("_h", 20), F.col("_buckets"))
