@@ -53,7 +53,7 @@ def unique_by_key(selectors: DataFrame, candidates: DataFrame, keys: Sequence[st
     work = Workspace(selectors.sparkSession, "unique")
     counts = candidates.groupBy(*keys).agg(F.count(candidate).alias("matches"), F.min(candidate).alias("_one"))
     asked = work.cut(selectors.select(selector, *keys), "asked")
-    met = lookup(asked, work.cut(counts, "counts"), list(keys)).select(selector, "matches", "_one")
+    met = lookup(asked, work.cut(counts, "counts"), list(keys), written=True).select(selector, "matches", "_one")
     out = asked.select(selector).join(met, selector, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     return out.select(selector, F.when(F.col("matches") == 1, F.col("_one")).alias(candidate), "matches")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodestrata.storage import Workspace
+
 #: Rows of a small side that are broadcast; beyond it the join is a shuffle with hot keys apart.
 BROADCAST_ROWS = 50_000
 
@@ -33,8 +35,13 @@ def lookup_hot(big: DataFrame, small: DataFrame, on: str | list[str]) -> DataFra
     return cold.join(small.where(~is_hot).drop("size"), on).unionByName(big.join(hot, on))
 
 
-def lookup(big: DataFrame, small: DataFrame, on: str | list[str], most: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join with the one row of each key: broadcast after a check of its rows, else `lookup_hot`."""
+def lookup(big: DataFrame, small: DataFrame, on: str | list[str], written: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with the one row of each key: broadcast after a check of its rows, else `lookup_hot`.
+
+    For the latter `big` is written first, unless it is a table already (`written`).
+    """
     if small.limit(most + 1).count() <= most:
         return big.join(F.broadcast(small), on)
+    if not written:
+        big = Workspace(big.sparkSession, "lookup").cut(big, "big")
     return lookup_hot(big, small.join(counted(big, on), on), on)

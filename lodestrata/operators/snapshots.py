@@ -105,7 +105,7 @@ def finding_changes(findings: DataFrame, scans: DataFrame) -> DataFrame:
     out = None
     for last in (False, True):
         slots = numbered(order.where(F.col("last") == last))
-        rows = lookup(findings, slots.withColumnRenamed("snapshot", "scan_id"), "scan_id")
+        rows = lookup(findings, slots.withColumnRenamed("snapshot", "scan_id"), "scan_id", written=True)
         states = latest_per_key(finding_states(rows, "series", "i", "m"), ["series", "i", "m", "key"], "_at", "_state", "_present")
         changes = index.deliver(states, slots)
         out = changes if out is None else out.unionByName(changes)
@@ -219,8 +219,8 @@ class SnapshotIndex:
             index = self._table(f"{force}/index", _ENTRIES, buckets)
             known = self.spark.read.schema("series string").parquet(f"{force}/series")
             first = slots.where("i = 1").join(known, "series", "left_semi").select("series").distinct()
-            new = lookup(rows.where("i = 1").select("series", "key", c("hash").alias("_new")), first, "series")
-            old = lookup(index.select("series", "key", c("hash").alias("_old")), first, "series")
+            new = lookup(rows.where("i = 1").select("series", "key", c("hash").alias("_new")), first, "series", written=True)
+            old = lookup(index.select("series", "key", c("hash").alias("_old")), first, "series", written=True)
             change = F.when(c("_old").isNull(), "added").when(c("_new").isNull(), "removed").when(c("_new") != c("_old"), "changed")
             probed = new.join(old, ["series", "key"], "full_outer").select("series", "key", F.lit(1).alias("i"), change.alias("change"))
             changes = changes.unionByName(probed.where("change is not null"))

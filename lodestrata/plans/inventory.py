@@ -96,7 +96,7 @@ def license_policy(spark, d):
     o = table(spark, d, "license_observations").select(key("occurrence_id").alias("id"), asked).where("id is not null")
     distinct = o.select("asked").distinct().withColumn("verdict", licenses.evaluated(F.nullif("asked", F.lit("\x00")), POLICY))
     distinct = Workspace(spark, "verdicts").cut(distinct, "verdicts")
-    judged = lookup(o, distinct, "asked").groupBy("id").agg(licenses.strictest(F.col("verdict")).alias("result"))
+    judged = lookup(o, distinct, "asked", written=True).groupBy("id").agg(licenses.strictest(F.col("verdict")).alias("result"))
     return _occurrences(spark, d).select("id").join(judged, "id", "left").select("id", F.coalesce("result", F.lit("undetermined")).alias("result"))
 
 

@@ -82,10 +82,10 @@ class Workspace:
             self._fs(path).delete(self._path(path), True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Before work that is heavy per row: rows of a scan of fewer partitions than cores are spread by key.
+def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Before work that is heavy per row: rows of a scan of fewer partitions than `tasks` are spread by key.
 
-    A large table has partitions enough and is left as it is, so nothing is shuffled at scale.
+    Without `tasks` it is the cores of the session. A table of as many partitions is left as it is. Pass 0 to leave any.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
+    n = df.sparkSession.sparkContext.defaultParallelism if tasks is None else tasks
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
