@@ -318,3 +318,9 @@ ORACLES["ordered_digests"] = BASE + """, r AS (SELECT coalesce(root_id, '') AS s
 p AS (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY id) - 1 AS pos FROM r), a AS (SELECT snapshot, pos // 1024 AS blk, sha256(string_agg(d, '' ORDER BY pos)) AS d FROM p GROUP BY snapshot, pos // 1024),
 b AS (SELECT snapshot, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY blk)) END AS digest FROM a GROUP BY 1)
 SELECT snapshot, n, digest FROM b JOIN (SELECT snapshot, count(*) AS n FROM r GROUP BY 1) USING (snapshot)"""
+#: Versions and ranges of the tables are plain numbers under ^, ~ or >=, which the rules of pypi and npm read alike.
+ORACLES["range_checks"] = BASE + r""", b AS (SELECT id, ecosystem, declared_range AS r, list_transform(string_split(selected_version, '.'), lambda x: cast(x AS BIGINT)) AS v,
+  list_transform(string_split(regexp_replace(declared_range, '^[\^~>=]+', ''), '.'), lambda x: cast(x AS BIGINT)) AS w FROM o WHERE declared_range IS NOT NULL AND selected_version IS NOT NULL)
+SELECT id, ecosystem, v >= w AND v < CASE WHEN r LIKE '^%' AND w[1] > 0 THEN [w[1] + 1, 0, 0] WHEN r LIKE '^%' AND w[2] > 0 THEN [0, w[2] + 1, 0] WHEN r LIKE '^%' THEN [0, 0, w[3] + 1] WHEN r LIKE '~%' THEN [w[1], w[2] + 1, 0] ELSE [99999999, 0, 0] END AS admits FROM b"""
+ORACLES["purl_check"] = BASE + """, x AS (SELECT *, CASE ecosystem WHEN 'npm' THEN '(@[^/@]+/)?[^/@]+' WHEN 'pypi' THEN '[a-z0-9]+(-[a-z0-9]+)*' ELSE '[^/@]+' END AS rule FROM o WHERE ecosystem IS NOT NULL AND name IS NOT NULL)
+SELECT id, CASE WHEN regexp_full_match(name, rule) AND (ecosystem <> 'nuget' OR name = lower(name)) THEN 'pkg:' || ecosystem || '/' || replace(name, '@', '%40') || coalesce('@' || selected_version, '') END AS computed, purl AS recorded FROM x"""
