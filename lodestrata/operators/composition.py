@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.functions import ids, versions
+from lodestrata.operators.hierarchy import node_key
 from lodestrata.operators.inventory import reached
 from lodestrata.storage import Workspace
 
@@ -134,28 +135,29 @@ def _fits(f: Column, version: Column, wanted: Column, exact: Column) -> Column:
 def composed(rows: DataFrame) -> Composed:
     """The tables of all files of `rows`, which has the columns of `read_packages`."""
     work, c = Workspace(rows.sparkSession, "composition"), F.col
-    rows = work.cut(rows.withColumn("f", _format()), "rows")
+    # a file goes by the digest of its path, which may be long, wherever rows are shuffled
+    rows = work.cut(rows.withColumn("f", _format()).withColumn("file", node_key("path")), "rows")
     parsed = rows.where("status = 'parsed'")
-    made = parsed.where("kind = 'package'").dropDuplicates(["path", "locator", "scopes"])
+    made = parsed.where("kind = 'package'").dropDuplicates(["file", "locator", "scopes"])
     made = made.withColumn("purl", ids.purl(c("ecosystem"), c("name"), c("version")))
     refused = c("purl").isNull() | c("version").isNull() | F.array_contains("scopes", "local")
     packages = work.cut(made.withColumn("admitted", ~refused), "packages")
 
     entries = parsed.where("kind = 'edge' and name is not null").withColumn("eid", F.monotonically_increasing_id())
-    entries = work.cut(entries.select("eid", "path", "format", "f", "ecosystem", "name", "version", "range", "scopes", "marker", "parent", "registry_sha256", "locator"), "entries")
-    known = packages.select("path", "f", F.explode(_keys(c("f"))).alias("key"), "version", "locator", "admitted")
-    known = work.cut(known.groupBy("path", "f", "key", "version").agg(F.count_distinct("locator").alias("n"), F.min(F.struct("locator", "admitted")).alias("one")), "known")
-    sought = work.cut(entries.select("eid", "path", "f", F.inline(_sought(c("f"))), c("range").alias("wanted"), F.when(c("f") == "python", c("version")).alias("exact")), "sought")
-    asked = sought.select("path", "f", "key", "wanted", "exact").distinct().join(known, ["path", "f", "key"])
+    entries = work.cut(entries.select("eid", "file", "path", "f", "ecosystem", "name", "version", "range", "scopes", "marker", "parent", "registry_sha256", "locator"), "entries")
+    known = packages.select("file", "f", F.explode(_keys(c("f"))).alias("key"), "version", "locator", "admitted")
+    known = work.cut(known.groupBy("file", "f", "key", "version").agg(F.count_distinct("locator").alias("n"), F.min(F.struct("locator", "admitted")).alias("one")), "known")
+    sought = work.cut(entries.select("eid", "file", "f", F.inline(_sought(c("f"))), c("range").alias("wanted"), F.when(c("f") == "python", c("version")).alias("exact")), "sought")
+    asked = sought.select("file", "f", "key", "wanted", "exact").distinct().join(known, ["file", "f", "key"])
     checked = work.cut(asked.withColumn("fits", _fits(c("f"), c("version"), c("wanted"), c("exact"))), "checked")
     # only Python's locks choose among several packages of a key by what fits
     chosen = (c("f") != "python") | F.coalesce("fits", F.lit(False))
-    answers = checked.groupBy("path", "f", "key", "wanted", "exact").agg(
+    answers = checked.groupBy("file", "f", "key", "wanted", "exact").agg(
         F.sum(F.when(chosen, c("n")).otherwise(0)).alias("n"), F.min(F.when(chosen, F.struct("one", "version"))).alias("target"),
         F.bool_and(F.coalesce("fits", F.lit(False))).alias("all_fit"), F.bool_or(c("fits").isNull()).alias("unread"),
     )
     same = lambda n: sought[n].eqNullSafe(answers[n])
-    hits = sought.join(answers, (sought.path == answers.path) & (sought.key == answers.key) & same("wanted") & same("exact"))
+    hits = sought.join(answers, (sought.file == answers.file) & (sought.key == answers.key) & same("wanted") & same("exact"))
     best = hits.groupBy("eid").agg(F.max(F.struct(sought.depth, "n", "target", "all_fit", "unread")).alias("b")).select("eid", "b.*")
     out = entries.join(best, "eid", "left").withColumns({"parent_locator": _parent(c("f")), "n": F.coalesce("n", F.lit(0))})
     reason = lambda i: F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v[i]))])[c("f")]
@@ -173,28 +175,30 @@ def composed(rows: DataFrame) -> Composed:
     out = out.withColumn("reason", said)
     out = out.withColumn("child_locator", F.when(c("reason") == reason(4), c("target.one.locator")))
     # yarn names the parent by a descriptor
-    owner = known.where("f = 'yarn-lock'").select("path", c("key").alias("parent_locator"), c("one.locator").alias("owner"))
-    out = out.join(owner.dropDuplicates(["path", "parent_locator"]), ["path", "parent_locator"], "left")
+    owner = known.where("f = 'yarn-lock'").select("file", c("key").alias("parent_locator"), c("one.locator").alias("owner"))
+    out = out.join(owner.dropDuplicates(["file", "parent_locator"]), ["file", "parent_locator"], "left")
     selectors = out.select(
-        "path", "ecosystem", F.coalesce("owner", "parent_locator").alias("parent_locator"), "child_locator", "name", c("range").alias("declared_range"),
+        "file", "path", "ecosystem", F.coalesce("owner", "parent_locator").alias("parent_locator"), "child_locator", "name", c("range").alias("declared_range"),
         F.when(c("child_locator").isNotNull(), c("target.version")).alias("exact_version"), "scopes", "marker",
         F.when(c("child_locator").isNotNull(), "resolved").otherwise("unresolved").alias("disposition"), "reason", "locator",
     )
     # what a refused package asks for is nobody's
-    heads = packages.where("admitted").select("path", c("locator").alias("parent_locator"))
-    inner = selectors.where("parent_locator is not null").join(heads, ["path", "parent_locator"], "left_semi").select(selectors.columns)
+    heads = packages.where("admitted").select("file", c("locator").alias("parent_locator"))
+    inner = selectors.where("parent_locator is not null").join(heads, ["file", "parent_locator"], "left_semi").select(selectors.columns)
     selectors = work.cut(selectors.where("parent_locator is null").unionByName(inner), "selectors")
+    for spent in (entries, known, sought, checked):
+        work.drop(spent)
 
-    node = lambda locator: F.concat_ws("\x1f", "path", locator)
+    node = lambda locator: F.concat_ws("\x1f", F.hex("file"), locator)
     resolved = selectors.where("disposition = 'resolved'")
     edges = work.cut(resolved.where("parent_locator is not null").select(node("parent_locator").alias("parent_id"), node("child_locator").alias("child_id")).distinct(), "edges")
     direct = work.cut(resolved.where("parent_locator is null").select(node("child_locator").alias("id")).distinct(), "direct")
     walked = reached(edges.unionByName(direct.select(F.lit("").alias("parent_id"), c("id").alias("child_id"))), rows.sparkSession.createDataFrame([("",)], "id string"), work)
     how = walked.where("id <> ''").select("id", F.lit("transitive").alias("how")).unionByName(direct.withColumn("how", F.lit("direct"))).groupBy("id").agg(F.min("how").alias("how"))
     nuget = F.when(c("f") == "nuget-lock", F.when(c("marker") == "Direct", "direct").otherwise("transitive"))
-    ranges = selectors.where("parent_locator is null and child_locator is not null").groupBy("path", c("child_locator").alias("locator"))
-    ranges = ranges.agg(F.min("declared_range").alias("_low"), F.max("declared_range").alias("_high")).where("_low = _high").select("path", "locator", c("_low").alias("_asked"))
-    placed = packages.where("admitted").withColumn("id", node("locator")).join(how, "id", "left").join(ranges, ["path", "locator"], "left")
+    ranges = selectors.where("parent_locator is null and child_locator is not null").groupBy("file", c("child_locator").alias("locator"))
+    ranges = ranges.agg(F.min("declared_range").alias("_low"), F.max("declared_range").alias("_high")).where("_low = _high").select("file", "locator", c("_low").alias("_asked"))
+    placed = packages.where("admitted").withColumn("id", node("locator")).join(how, "id", "left").join(ranges, ["file", "locator"], "left")
     occurrences = placed.select(
         "path", "locator", "ecosystem", "name", c("version").alias("selected_version"), F.coalesce("range", "_asked").alias("declared_range"), "purl",
         F.when(c("f") == "python-installed-metadata", "installed").otherwise("locked").alias("evidence_kind"), F.coalesce(nuget, "how", F.lit("unknown")).alias("directness"), "scopes", "hashes", "registry_sha256", "license",
@@ -216,7 +220,7 @@ def composed(rows: DataFrame) -> Composed:
     indirect = parsed.where("format = 'go-mod' and kind = 'declaration' and array_contains(scopes, 'indirect')")
     losses = losses.unionByName(indirect.select("path", "locator", F.lit("graph").alias("dimension"), F.lit("unassessed-go-indirect-annotation").alias("reason")))
     relationships = resolved.where("parent_locator is not null").select("path", "parent_locator", "child_locator", "scopes", F.lit("evidenced").alias("evidence_status"))
-    return Composed(occurrences.unionByName(declared), selectors, relationships, declarations, coverage, losses)
+    return Composed(occurrences.unionByName(declared), selectors.drop("file"), relationships, declarations, coverage, losses)
 
 
 # What may become of an input.
